@@ -24,6 +24,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_words(documents(spark, sf_dir))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from centrova.llm.jaccard_join import components_by_id
+
+    return components_by_id(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from centrova.llm.token_counts import count_tokens
 
@@ -43,10 +49,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op8_token_counts, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op3_mixing, op7_jaccard_join, op8_token_counts, op9_quality_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
     from centrova.llm import mixing, sql
 
-    return {"op3_mixing": mixing.oracle_sql(), "op9_quality_rules": sql.quality_rules(), "op10_decontamination": sql.decontamination()}
+    return {"op3_mixing": mixing.oracle_sql(), "op7_jaccard_join": sql.jaccard(), "op9_quality_rules": sql.quality_rules(), "op10_decontamination": sql.decontamination()}

@@ -55,3 +55,22 @@ def quality_rules(docs: str = "documents") -> str:
 
 def decontamination(docs: str = "documents", benchmark: str = "benchmark") -> str:
     return DECONTAMINATION.replace("{docs}", docs).replace("{benchmark}", benchmark)
+
+
+JACCARD = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM {docs}
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + {k} - 1], ' ') AS sh
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - {k} + 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * n_both >= {percent} * (na.n + nb.n - n_both)
+), r AS (SELECT doc_id AS d, doc_id AS c FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d
+)
+SELECT d AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = d GROUP BY d
+"""
+
+
+def jaccard(docs: str = "documents", k: int = 3, percent: int = 90) -> str:
+    return JACCARD.replace("{docs}", docs).replace("{k}", str(k)).replace("{percent}", str(percent))
