@@ -24,6 +24,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_words(documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from centrova.llm.substring_dedup import removals
+
+    return removals(documents(spark, sf_dir))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from centrova.llm.jaccard_join import components_by_id
 
@@ -48,8 +54,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op7_jaccard_join, op8_token_counts, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op3_mixing, op6_substring_dedup, op7_jaccard_join, op8_token_counts, op9_quality_rules, op10_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

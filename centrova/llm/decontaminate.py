@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from centrova.llm import textbytes as tb
-from centrova.llm.frames import saved, texts
+from centrova.llm.frames import saved
 
 WIDTH, SHINGLE, BLOCK = 10, 3, 1_000_000
 
@@ -134,8 +135,8 @@ def _prefixes(docs: DataFrame, words: np.ndarray, size: np.ndarray, shingle: int
     return rare, rare_at, kinds
 
 
-def _block_hits(docs: DataFrame, block: list, width: int, shingle: int, row_id: str) -> DataFrame:
-    """row id, doc_id, n_words, places (start, size of the windows found), windows' items for the windows of one block."""
+def _block_hits(docs: DataFrame, block: list, width: int, shingle: int, carry: list[str]) -> DataFrame:
+    """The carried columns, __n_words, __edges of the runs of hit words, and __items found, for the windows of one block."""
     size = np.array([len(r["words"]) for r in block], np.int64)
     words = np.zeros((len(block), width), np.uint64)
     for i, r in enumerate(block):
@@ -153,7 +154,7 @@ def _block_hits(docs: DataFrame, block: list, width: int, shingle: int, row_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, words, rare_at, probe, items = sent.value
         for batch in batches:
-            for lo, hi, data, offs in tb.slices(batch.column(1)):
+            for lo, hi, data, offs in tb.slices(batch.column(0)):
                 w = tb.words(data, offs, tb.ALNUM, tb.FOLDED)
                 starts, wins = [], []
                 for k, (keys, first, rows) in probe.items():
@@ -189,14 +190,15 @@ def _block_hits(docs: DataFrame, block: list, width: int, shingle: int, row_id:
                         hits.append(edges.tolist())
                     else:
                         hits.append([])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(w.first).astype(np.int64)), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], [row_id, "n_words", "edges", "items"])
+                own = batch.slice(lo, hi - lo).columns[1:]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(w.first).astype(np.int64)), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], [*carry, "__n_words", "__edges", "__items"])
 
-    kind = docs.schema[row_id].dataType.simpleString()
-    return docs.select(row_id, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{row_id} {kind}, n_words long, edges array<long>, items array<string>")
+    schema = StructType([docs.schema[c] for c in carry]).add("__n_words", "long").add("__edges", ArrayType(LongType())).add("__items", ArrayType(StringType()))
+    return docs.select(F.col("text").cast("string").alias("__text"), *carry).mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """A row per document: doc_id, n_words, n_hit, n_items, items (sorted item ids as strings), edges of the runs of hit words.
+def _found(docs: DataFrame, benchmark: DataFrame, carry: list[str], width: int, shingle: int, block: int) -> DataFrame:
+    """The carried columns, __n_words, __edges, __items of every document.
 
     With one block of windows, which is the case up to ``block`` distinct windows, this is one pass after the counts.  Further
     blocks are passes of their own; their results meet by row in a shuffle.
@@ -204,16 +206,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shi
     windows = saved(benchmark_windows(benchmark, width))
     total = windows.count()
     if total <= block:
-        return _with_totals(_block_hits(docs, windows.collect(), width, shingle, "doc_id"))
-    n = -(-total // block)
-    keyed = saved(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
+        return _block_hits(docs, windows.collect(), width, shingle, carry)
+    n = 2 * -(-total // block)  # by hash, so that a block is half full and hardly ever above the limit
+    keyed = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
     parts = []
-    for i in range(2 * n):  # by hash, so that a block is half full and hardly ever above the limit
-        rows = windows.filter(F.pmod(F.xxhash64("words"), F.lit(2 * n)) == i).collect()
+    for i in range(n):
+        rows = windows.filter(F.pmod(F.xxhash64("words"), F.lit(n)) == i).collect()
         if rows:
-            parts.append(_block_hits(keyed, rows, width, shingle, "_row"))
-    found = reduce(DataFrame.unionByName, parts)
-    merged = found.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.collect_list("edges").alias("all"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+            parts.append(_block_hits(keyed, rows, width, shingle, ["__row"]))
+    found = reduce(DataFrame.unionByName, parts).groupBy("__row").agg(
+        F.max("__n_words").alias("__n_words"), F.collect_list("__edges").alias("__all"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
 
     def join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,15 +224,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shi
                 e = np.array([x for one in lists for x in one], np.int64).reshape(-1, 2)
                 hit = tb.covered(e[:, 0], e[:, 1] - e[:, 0], n_words)
                 out.append(np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64())), b.column(3)], ["_row", "n_words", "edges", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64())), b.column(3)], ["__row", "__n_words", "__edges", "__items"])
+
+    found = found.mapInArrow(join_edges, "__row long, __n_words long, __edges array<long>, __items array<string>")
+    return keyed.select("__row", *carry).join(found, "__row").drop("__row")
 
-    merged = merged.mapInArrow(join_edges, "_row long, n_words long, edges array<long>, items array<string>")
-    return _with_totals(keyed.select("_row", "doc_id").join(merged, "_row").drop("_row"))
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """A row per document: doc_id, n_words, n_hit, n_items, items (sorted item ids as strings), edges of the runs of hit words."""
+    f = _found(docs.select("doc_id", "text"), benchmark, ["doc_id"], width, shingle, block)
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign"))
+    hit = F.aggregate("__edges", start, lambda a, e: F.struct((a["n"] + a["sign"] * e).alias("n"), (-a["sign"]).alias("sign")), lambda a: a["n"])
+    return f.select("doc_id", F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.col("__items").alias("items"), F.col("__edges").alias("edges"))
 
 
-def _with_totals(found: DataFrame) -> DataFrame:
-    hit = F.aggregate("edges", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda a, e: F.struct((a["n"] + a["sign"] * e).alias("n"), (-a["sign"]).alias("sign")), lambda a: a["n"])
-    return found.withColumn("n_hit", hit).withColumn("n_items", F.size("items").cast("long"))
+def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """The rows of docs in which no window occurs, with all their columns (whose names must not begin with two underscores)."""
+    return _found(docs, benchmark, docs.columns, width, shingle, block).filter(F.size("__items") == 0).select(*docs.columns)
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from centrova.llm import textbytes as tb
-from centrova.llm.frames import saved, texts
+from centrova.llm.frames import saved
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = 1
@@ -92,19 +93,6 @@ def _base(data: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], tu
     }, (row, a, b, w)
 
 
-def base_figures(docs: DataFrame, host: str = "source", *more: str) -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in tb.slices(batch.column(1)):
-                figures, _ = _base(data, offs)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(v) for v in figures.values())], ["doc_id", *figures])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts(docs).mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
-
-
 def _keyed_lines(docs: DataFrame, host: str) -> DataFrame:
     """host, content (hash of the whole text), line, words: a row per distinct line of a document; line null: the document itself.
 
@@ -139,61 +127,84 @@ def frequent_lines(docs: DataFrame, rules: QualityRules, host: str = "source") -
     return lines.join(sizes, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n_docs") > F.col("host_docs") * rules.line_share).select("host", "line")
 
 
+_FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words")
+
+
 def verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), host: str = "source") -> DataFrame:
-    """A row per document: doc_id, the base figures, base_failed, n_removed_words, kept."""
+    """A row per document: doc_id, the base figures, n_removed_words, base_failed, kept."""
+    out = _judged(docs.select("doc_id", "text", F.col(host).alias("source")), ["doc_id"], rules, "source")
+    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in (*_FIGURES, "base_failed", "kept")])
+
+
+def kept_documents(docs: DataFrame, rules: QualityRules = QualityRules(), host: str = "source") -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns (whose names must not begin with two underscores)."""
+    return _judged(docs, docs.columns, rules, host).filter("__kept").select(*docs.columns)
+
+
+def _judged(docs: DataFrame, carry: list[str], rules: QualityRules, host: str) -> DataFrame:
+    """The carried columns, the figures, base_failed and kept, each of these with two underscores before its name."""
     frequent = saved(frequent_lines(docs, rules, host))
     few = frequent.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    figures = _figures_by_broadcast(docs, frequent, host) if few else _figures_by_join(docs, frequent, host)
-    failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words"))
-    left = 100 * (F.col("n_words") - F.col("n_removed_words")) >= rules.min_left_pct * F.col("n_words")
-    return figures.withColumn("base_failed", failed).withColumn("kept", ~failed & left)
+    figures = _figures_by_broadcast(docs, carry, frequent, host) if few else _figures_by_join(docs, carry, frequent, host)
+    failed = (F.col("__n_words") < rules.min_words) | (100 * F.col("__n_repeat_words") > rules.max_repeat_pct * F.col("__n_words"))
+    left = 100 * (F.col("__n_words") - F.col("__n_removed_words")) >= rules.min_left_pct * F.col("__n_words")
+    return figures.withColumn("__base_failed", failed).withColumn("__kept", ~failed & left)
+
+
+def _scanned(docs: DataFrame, carry: list[str], host: str, figures_of, more: dict[str, str]) -> DataFrame:
+    """The carried columns and what figures_of(data, offs, hosts) gives for each slice, under names with two underscores."""
+    names = [*carry, *(f"__{c}" for c in more)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offs in tb.slices(batch.column(0)):
+                part = batch.slice(lo, hi - lo)
+                found = figures_of(data, offs, part.column(1))
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], *(found[c] for c in more)], names)
 
-_FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_removed_words long"
+    schema = StructType([docs.schema[c] for c in carry])
+    for c, kind in more.items():
+        schema = schema.add(f"__{c}", kind)
+    return docs.select(F.col("text").cast("string").alias("__text"), F.col(host).cast("string").alias("__host"), *carry).mapInArrow(run, schema)
 
 
-def _figures_by_broadcast(docs: DataFrame, frequent: DataFrame, host: str) -> DataFrame:
+def _figures_by_broadcast(docs: DataFrame, carry: list[str], frequent: DataFrame, host: str) -> DataFrame:
     """One pass; the frequent lines, no more than BROADCAST_LINES, go to every worker."""
     by_host: dict[str | None, list[int]] = {}
     for r in frequent.collect():
         by_host.setdefault(r["host"], []).append(r["line"])
     sent = docs.sparkSession.sparkContext.broadcast({k: np.sort(np.array(v, np.int64)) for k, v in by_host.items()})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in tb.slices(batch.column(1)):
-                figures, (row, a, b, w) = _base(data, offs)
-                removed = np.zeros(hi - lo, np.int64)
-                if sent.value and len(a):
-                    key = tb.signed(_line_keys(tb.span_hash(tb.prefix(data, tb.FOLDED), w.start, w.stop), a, b))
-                    hosts = batch.column(2).slice(lo, hi - lo).dictionary_encode()
-                    code = hosts.indices.fill_null(-1).to_numpy(zero_copy_only=False)[row]
-                    drop = np.zeros(len(a), bool)
-                    for i, name in [(-1, None), *enumerate(hosts.dictionary.to_pylist())]:
-                        if (lines := sent.value.get(name)) is not None and len(own := np.flatnonzero(code == i)):
-                            j = np.minimum(np.searchsorted(lines, key[own]), len(lines) - 1)
-                            drop[own] = lines[j] == key[own]
-                    removed = tb.by_row(row[drop], hi - lo, (b - a)[drop])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(v) for v in figures.values()), pa.array(removed)], ["doc_id", *figures, "n_removed_words"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts(docs, F.col(host).cast("string").alias("host")).mapInArrow(run, f"doc_id {kind}, {_FIGURES}")
-
-
-def _figures_by_join(docs: DataFrame, frequent: DataFrame, host: str) -> DataFrame:
+    def figures_of(data: np.ndarray, offs: np.ndarray, hosts: pa.Array) -> dict:
+        figures, (row, a, b, w) = _base(data, offs)
+        removed = np.zeros(len(offs) - 1, np.int64)
+        if sent.value and len(a):
+            key = tb.signed(_line_keys(tb.span_hash(tb.prefix(data, tb.FOLDED), w.start, w.stop), a, b))
+            coded = hosts.dictionary_encode()
+            code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)[row]
+            drop = np.zeros(len(a), bool)
+            for i, name in [(-1, None), *enumerate(coded.dictionary.to_pylist())]:
+                if (lines := sent.value.get(name)) is not None and len(own := np.flatnonzero(code == i)):
+                    j = np.minimum(np.searchsorted(lines, key[own]), len(lines) - 1)
+                    drop[own] = lines[j] == key[own]
+            removed = tb.by_row(row[drop], len(offs) - 1, (b - a)[drop])
+        return {c: pa.array(v) for c, v in figures.items()} | {"n_removed_words": pa.array(removed)}
+
+    return _scanned(docs, carry, host, figures_of, dict.fromkeys(_FIGURES, "long"))
+
+
+def _figures_by_join(docs: DataFrame, carry: list[str], frequent: DataFrame, host: str) -> DataFrame:
     """For more frequent lines than may be broadcast: the words they remove are summed per content by a shuffled join."""
     f = frequent.select(F.col("host").alias("h"), F.col("line").alias("l"))
     lines = _keyed_lines(docs, host).filter(F.col("line").isNotNull()).distinct()
-    removed = lines.join(f, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).groupBy("host", "content").agg(F.sum("words").alias("n_removed_words"))
+    removed = lines.join(f, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).groupBy("host", "content").agg(F.sum("words").alias("__n_removed_words"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in tb.slices(batch.column(1)):
-                figures, _ = _base(data, offs)
-                whole = tb.span_hash(tb.prefix(data, tb.RAW), offs[:-1], offs[1:])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(tb.signed(whole)), *(pa.array(v) for v in figures.values())], ["doc_id", "host", "content", *figures])
+    def figures_of(data: np.ndarray, offs: np.ndarray, hosts: pa.Array) -> dict:
+        figures, _ = _base(data, offs)
+        whole = tb.span_hash(tb.prefix(data, tb.RAW), offs[:-1], offs[1:])
+        return {c: pa.array(v) for c, v in figures.items()} | {"host": hosts, "content": pa.array(tb.signed(whole))}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    own = texts(docs, F.col(host).cast("string").alias("host")).mapInArrow(run, f"doc_id {kind}, host string, content long, " + _FIGURES.rpartition(",")[0])
-    removed = removed.select(F.col("host").alias("h"), F.col("content").alias("c"), "n_removed_words")
-    return own.join(removed, F.col("host").eqNullSafe(F.col("h")) & (F.col("content") == F.col("c")), "left").drop("host", "content", "h", "c").fillna(0, ["n_removed_words"])
+    own = _scanned(docs, carry, host, figures_of, dict.fromkeys(_FIGURES[:-1], "long") | {"host": "string", "content": "long"})
+    removed = removed.select(F.col("host").alias("__h"), F.col("content").alias("__c"), "__n_removed_words")
+    out = own.join(removed, F.col("__host").eqNullSafe(F.col("__h")) & (F.col("__content") == F.col("__c")), "left")
+    return out.fillna(0, ["__n_removed_words"]).select(*carry, *[f"__{c}" for c in _FIGURES])
