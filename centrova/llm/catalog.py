@@ -18,6 +18,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from centrova.llm.suffix_dedup import removals
+
+    return removals(documents(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from centrova.llm.mixing import mixed_words
 
@@ -61,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op6_substring_dedup, op7_jaccard_join, op8_token_counts, op9_quality_rules, op10_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_mixing, op6_substring_dedup, op7_jaccard_join, op8_token_counts, op9_quality_rules, op10_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
