@@ -24,12 +24,24 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from centrova.llm.toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from centrova.llm.mixing import mixed_words
 
     return mixed_words(documents(spark, sf_dir))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from centrova.llm.quality_classifier import classify
+
+    return classify(documents(spark, sf_dir))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from centrova.llm.substring_dedup import removals
 
@@ -67,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_mixing, op6_substring_dedup, op7_jaccard_join, op8_token_counts, op9_quality_rules, op10_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_mixing, op4_quality_classifier, op6_substring_dedup, op7_jaccard_join, op8_token_counts, op9_quality_rules, op10_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
