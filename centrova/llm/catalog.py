@@ -42,6 +42,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from centrova.llm.license_scan import licences
+
+    return licences(documents(spark, sf_dir))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from centrova.llm.substring_dedup import removals
 
@@ -79,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_mixing, op4_quality_classifier, op6_substring_dedup, op7_jaccard_join, op8_token_counts, op9_quality_rules, op10_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_mixing, op4_quality_classifier, op5_license_scan, op6_substring_dedup, op7_jaccard_join, op8_token_counts, op9_quality_rules, op10_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
