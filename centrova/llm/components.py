@@ -25,3 +25,15 @@ def components(links: DataFrame) -> DataFrame:
         labels = fell.select("node", "component")
         if fell.filter("old != component").limit(1).count() == 0:
             return labels
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after further links (a, b): only components that a link ties together are looked at again."""
+    ends = links
+    for c in ("a", "b"):
+        of = labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        ends = ends.join(of, c, "left").withColumn(c, F.coalesce(f"of_{c}", c)).drop(f"of_{c}")
+    merged = components(ends.filter("a != b")).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    known = labels.join(merged, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    fresh = merged.join(labels.select("node"), F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return saved(known.union(fresh))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,29 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _folder(spark: SparkSession) -> str:
+    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame as a compressed table in the checkpoint folder, and its path, for ``drop``."""
+    path = f"{_folder(df.sparkSession)}/stored/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are out of use: it does so as the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and further columns alone, whatever else the table holds."""
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), *more)

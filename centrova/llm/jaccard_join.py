@@ -32,14 +32,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from centrova.llm import textbytes as tb
-from centrova.llm.components import components
-from centrova.llm.frames import saved, texts
+from centrova.llm.components import components, joined
+from centrova.llm.frames import drop, release, saved, stored, texts
 
 U64 = np.uint64
-#: Sets per side of a tile of sketch comparisons.
-TILE = 1024
+#: Sets per side of a tile of sketch comparisons, and rows of smaller keys that share a group.
+TILE, GROUP_ROWS = 1024, 5000
 
 
 @dataclass(frozen=True)
@@ -163,18 +164,20 @@ def emitted(docs: DataFrame, j: Jaccard) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, set_id long")
 
 
-def _full_sets(docs: DataFrame, j: Jaccard) -> DataFrame:
-    """set_id, n, sketch, shingles."""
+def _sketched(docs: DataFrame, needed: DataFrame, j: Jaccard) -> DataFrame:
+    """set_id, n, sketch, text: one text of each needed set (set_id, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in tb.slices(batch.column(0)):
+            for lo, hi, data, offs in tb.slices(batch.column(1)):
                 h, doc, first = shingle_sets(data, offs, j.words)
                 at, sketch = folded_sketches(h, doc, first)
-                lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(tb.signed(v))) for o, v in ((at, sketch), (first, h))]
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, first)), pa.array(np.diff(first).astype(np.int64)), *lists], ["set_id", "n", "sketch", "shingles"])
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tb.signed(sketch)))
+                ids = batch.column(0).slice(lo, hi - lo)
+                own = pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first).astype(np.int64)), lists, batch.column(1).slice(lo, hi - lo)], ["set_id", "n", "sketch", "text"])
+                yield own.filter(pa.array(ids.to_numpy() == set_ids(h, first)))  # rows may share a doc_id
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "set_id long, n long, sketch array<long>, shingles array<long>")
+    return texts(docs).join(needed, "doc_id").select("set_id", "text").mapInArrow(run, "set_id long, n long, sketch array<long>, text string")
 
 
 def _distance(x: Column, y: Column) -> Column:
@@ -182,14 +185,30 @@ def _distance(x: Column, y: Column) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, j: Jaccard) -> DataFrame:
-    """The pairs (a, b) that link: by sizes and sketches first, then by their whole sets."""
-    x = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sk_a"), F.col("shingles").alias("sh_a"))
-    y = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sk_b"), F.col("shingles").alias("sh_b"))
+    """The pairs (a, b) that link: by sizes and sketches first, then by the whole sets, made anew from the two texts."""
+    x, y = (sets.select(F.col("set_id").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in ("n", "sketch", "text")]) for c in ("a", "b"))
     total = F.col("n_a") + F.col("n_b")
     sizes = 100 * F.least("n_a", "n_b") >= j.percent * F.greatest("n_a", "n_b")
-    near = F.when(F.size("sk_a") == F.size("sk_b"), _distance(F.col("sk_a"), F.col("sk_b")) * (100 + j.percent) <= total * (100 - j.percent)).otherwise(F.lit(True))
-    shared = F.size(F.array_intersect("sh_a", "sh_b"))
-    return pairs.join(x, "a").join(y, "b").filter(sizes).filter(near).filter(shared * 100 >= j.percent * (total - shared)).select("a", "b").distinct()
+    near = F.when(F.size("sketch_a") == F.size("sketch_b"), _distance(F.col("sketch_a"), F.col("sketch_b")) * (100 + j.percent) <= total * (100 - j.percent)).otherwise(F.lit(True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for c in (2, 3):
+                lists: list[np.ndarray] = []
+                for lo, hi, data, offs in tb.slices(batch.column(c)):
+                    h, _, first = shingle_sets(data, offs, j.words)
+                    lists += [h[first[r] : first[r + 1]] for r in range(hi - lo)]
+                sides.append(lists)
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(*sides, strict=True)):
+                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                both = int(np.count_nonzero(b[at] == a))
+                keep[i] = 100 * both >= j.percent * (len(a) + len(b) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    likely = pairs.join(x, "a").join(y, "b").filter(sizes).filter(near)
+    return likely.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _tile_pairs(j: Jaccard, closest: bool):
@@ -199,88 +218,129 @@ def _tile_pairs(j: Jaccard, closest: bool):
             sketch = sketch[:, :half] ^ sketch[:, half:]
         return sketch
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        width = g["sketch"].map(len).to_numpy()
-        out = []
-        probe = g["probe"].to_numpy()
+    def pairs_of(probe: np.ndarray, ids: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: np.ndarray, out: list) -> None:
+        width = np.array([len(x) for x in sketches])
         for p in np.unique(width[probe]):
-            ours = g[probe & (width == p)]
-            sk_p = np.stack(ours["sketch"].to_numpy()).view(np.uint64)
+            ours = np.flatnonzero(probe & (width == p))
+            sk_p = np.stack(sketches[ours]).view(np.uint64)
             for b in np.unique(width[~probe]):
                 if not p // 2 <= b <= p * 2:
                     continue
-                base = g[~probe & (width == b)]
-                sk_b = np.stack(base["sketch"].to_numpy()).view(np.uint64)
+                base = np.flatnonzero(~probe & (width == b))
+                sk_b = np.stack(sketches[base]).view(np.uint64)
                 w = min(p, b)
                 fp, fb = fold(sk_p, w), fold(sk_b, w)
-                n_b, c_b, id_b = (base[c].to_numpy() for c in ("n", "component", "set_id"))
-                for i, (n, c, own) in enumerate(zip(ours["n"], ours["component"], ours["set_id"], strict=True)):
-                    ok = np.flatnonzero((c_b != c) & (100 * np.minimum(n, n_b) >= j.percent * np.maximum(n, n_b)))
+                for i, own in enumerate(ours):
+                    ok = np.flatnonzero((comp[base] != comp[own]) & (100 * np.minimum(n[own], n[base]) >= j.percent * np.maximum(n[own], n[base])))
                     if not len(ok):
                         continue
                     apart = np.bitwise_count(fb[ok] ^ fp[i]).sum(axis=1, dtype=np.int64)
-                    near = apart <= j.pair_apart(n + n_b[ok])
+                    near = apart <= j.pair_apart(n[own] + n[base[ok]])
                     ok, apart = ok[near], apart[near]
                     if closest and len(ok):
                         ok = ok[np.argsort(apart, kind="stable")]
-                        ok = ok[np.unique(c_b[ok], return_index=True)[1]]
+                        ok = ok[np.unique(comp[base[ok]], return_index=True)[1]]
                     if len(ok):
-                        out.append(np.stack([np.minimum(own, id_b[ok]), np.maximum(own, id_b[ok])], axis=1))
+                        other = ids[base[ok]]
+                        out.append(np.stack([np.minimum(ids[own], other), np.maximum(ids[own], other)], axis=1))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["key", "bt", "pt"], kind="stable")
+        key = g[["key", "bt", "pt"]].to_numpy()
+        cut = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))), len(g))
+        columns = [g[c].to_numpy() for c in ("probe", "set_id", "n", "component", "sketch")]
+        out: list[np.ndarray] = []
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            pairs_of(*(c[lo:hi] for c in columns), out)
         found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
 
 
-def _across(members: DataFrame, sets: DataFrame, labels: DataFrame, j: Jaccard, closest: bool) -> DataFrame:
-    """Pairs (a, b) of one key and different components that the sketches allow."""
-    named = members.select("key", "set_id").join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
-    named = named.withColumn("component", F.coalesce("component", "set_id"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("same"))
-    # Keys that hold the same sets give the same pairs: one of them is enough.
-    open_keys = open_keys.filter("lo != hi").groupBy("m", "same").agg(F.min("key").alias("key"))
-    named = saved(named.join(open_keys.select("key"), "key"))
+def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, set_id, component of members; a set without links is its own component."""
+    of = labels.select(F.col("node").alias("set_id"), "component")
+    return members.select("key", "set_id").join(of, "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
+
+
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, set_id of the keys that hold several components.
+
+    Keys of up to three sets are done with: their least and greatest set were compared with all others.  Keys that hold the same
+    sets give the same pairs: one of them is enough.
+    """
+    named = _named(members, labels)
+    keys = named.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"), F.count("*").alias("m"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("same"))
+    keys = saved(keys.filter("c_lo != c_hi and m > 3").groupBy("m", "same").agg(F.min("key").alias("key")).select("key"))
+    return saved(members.select("key", "set_id").join(keys, "key"))
+
+
+def _across(members: DataFrame, total: int, sets: DataFrame, labels: DataFrame, j: Jaccard, closest: bool) -> DataFrame:
+    """Pairs (a, b) of one key and different components that the sketches allow; total: the rows of members."""
+    named = _named(members, labels)
     parts = named.groupBy("key", "component").agg(F.count("*").alias("n_part"))
     whole = parts.groupBy("key").agg(F.max(F.struct("n_part", "component"))["component"].alias("main"), F.sum("n_part").alias("m"), F.max("n_part").alias("n_main"))
-    named = named.join(whole, "key")
+    named = named.join(saved(whole.filter("m > n_main")), "key")
     base_tiles, probe_tiles = F.ceil(F.col("m") / TILE).cast("int"), F.ceil((F.col("m") - F.col("n_main")) / TILE).cast("int")
-    own = F.xxhash64("set_id", F.lit(7))
-    as_base = named.withColumn("bt", F.pmod(own, base_tiles).cast("int")).withColumn("pt", F.explode(F.sequence(F.lit(0), probe_tiles - 1))).withColumn("probe", F.lit(False))
-    as_probe = named.filter("component != main").withColumn("pt", F.pmod(own, probe_tiles).cast("int")).withColumn("bt", F.explode(F.sequence(F.lit(0), base_tiles - 1))).withColumn("probe", F.lit(True))
-    rows = as_base.unionByName(as_probe).select("key", "bt", "pt", "probe", "set_id", "component").join(sets.select("set_id", "n", "sketch"), "set_id")
-    return rows.groupBy("key", "bt", "pt").applyInPandas(_tile_pairs(j, closest), "a long, b long").distinct()
+    own, probe = F.xxhash64("set_id", F.lit(7)), F.col("component") != F.col("main")
+    # Every set is base in its tile for each probe tile; a set outside the main component is also a probe in its tile for each base tile.
+    as_base = F.transform(F.sequence(F.lit(0), probe_tiles - 1), lambda t: F.struct(F.pmod(own, base_tiles).cast("int").alias("bt"), t.alias("pt"), F.lit(False).alias("probe")))
+    as_probe = F.transform(F.sequence(F.lit(0), base_tiles - 1), lambda t: F.struct(t.alias("bt"), F.pmod(own, probe_tiles).cast("int").alias("pt"), F.lit(True).alias("probe")))
+    dealt = named.select("key", "set_id", "component", "m", F.explode(F.when(probe, F.concat(as_base, as_probe)).otherwise(as_base)).alias("t"))
+    # Small keys share a group; a tile of a large key is a group.
+    group = F.when(F.col("m") <= TILE, F.pmod(F.xxhash64("key"), F.lit(-(-total // GROUP_ROWS)))).otherwise(F.xxhash64("key", "t.bt", "t.pt"))
+    rows = dealt.select(group.alias("group"), "key", "t.bt", "t.pt", "t.probe", "set_id", "component").join(sets.select("set_id", "n", "sketch"), "set_id")
+    return rows.groupBy("group").applyInPandas(_tile_pairs(j, closest), "a long, b long").distinct()
+
+
+def _pigeonholed(docs: DataFrame, j: Jaccard) -> DataFrame:
+    """key, set_id, lo, hi: the keys that several sets emit, with the least and the greatest of these."""
+    rows = emitted(docs, j)
+    keys = saved(rows.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo != hi"))
+    release(docs.sparkSession)
+    return saved(rows.join(keys, "key").select("key", "set_id", "lo", "hi").distinct())
 
 
 def linked_sets(docs: DataFrame, sized: DataFrame, j: Jaccard) -> DataFrame:
     """node, component for the sets (by set_id) that link with another one."""
-    rows = emitted(docs, j)
-    keys = rows.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo != hi")
-    members = saved(rows.join(keys, "key").select("key", "set_id", "lo", "hi").distinct())
-    needed = members.select("set_id").distinct().join(sized.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "set_id").select("doc_id")
-    sets = saved(_full_sets(texts(docs).join(needed, "doc_id", "left_semi"), j).dropDuplicates(["set_id"]))
-    stars = members.select("set_id", F.explode(F.array("lo", "hi")).alias("x")).filter("x != set_id")
-    stars = saved(stars.select(F.least("set_id", "x").alias("a"), F.greatest("set_id", "x").alias("b")).distinct())
-    links = saved(verified(stars, sets, j))
-    labels = components(links)
-    asked = stars
-    for closest in (True, False):
-        pairs = saved(_across(members, sets, labels, j, closest).join(asked, ["a", "b"], "left_anti"))
-        more = saved(verified(pairs, sets, j))
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = components(links)
+    spark = docs.sparkSession
+    members = _pigeonholed(docs, j)
+    release(spark)
+    needed = members.select("set_id").distinct().join(sized.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "set_id")
+    sets, path = stored(_sketched(docs, needed, j))
+    release(spark)
+    stars = members.select("set_id", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("end")).filter("set_id != end")
+    asked = saved(stars.select(F.least("set_id", "end").alias("a"), F.greatest("set_id", "end").alias("b")).distinct())
+    labels = components(saved(verified(asked, sets, j)))
+    release(spark)
+    members = _open_members(members, labels)
+    total = members.count()
+    for closest in (True, False) if total else ():
+        pairs = saved(_across(members, total, sets, labels, j, closest).join(asked, ["a", "b"], "left_anti"))
+        links = saved(verified(pairs, sets, j))
+        if links.limit(1).count():
+            labels = joined(labels, links)
         asked = asked.union(pairs)
+        release(spark)
+    drop(spark, path)
     return labels
 
 
-def near_duplicates(docs: DataFrame, j: Jaccard = Jaccard()) -> DataFrame:
-    """doc_id, n_shingles, set_id, component_id (the smallest doc_id reachable by links, itself included) of every document."""
+def _named_sets(docs: DataFrame, j: Jaccard) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, set_id of every document; set_id, least doc_id of the set, component of every set)."""
     sized = saved(set_sizes(docs, j))
     labels = linked_sets(docs, sized, j)
     least = sized.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    named = least.join(labels, F.col("set_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "set_id"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = named.select("set_id", "component").join(names, "component").select(F.col("set_id").alias("s"), "component_id")
+    named = least.join(labels, F.col("set_id") == F.col("node"), "left")
+    return sized, saved(named.select("set_id", "least", F.coalesce("component", "set_id").alias("component")))
+
+
+def near_duplicates(docs: DataFrame, j: Jaccard = Jaccard()) -> DataFrame:
+    """doc_id, n_shingles, set_id, component_id (the smallest doc_id reachable by links, itself included) of every document."""
+    sized, named = _named_sets(docs, j)
+    names = saved(named.groupBy("component").agg(F.min("least").alias("component_id")))
+    names = saved(named.select("set_id", "component").join(names, "component").select(F.col("set_id").alias("s"), "component_id"))
     out = sized.join(names, F.col("set_id") == F.col("s"), "left")
     return out.select("doc_id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -291,9 +351,14 @@ def components_by_id(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, j: Jaccard = Jaccard()) -> DataFrame:
-    """The documents, one of each component: the one with the smallest doc_id (then the smallest hash of its row)."""
-    names = near_duplicates(docs, j).filter("set_id is not null").select("set_id", F.struct("component_id").alias("_c")).distinct()
+    """The documents, one of each component: one with the smallest doc_id.  Documents with empty sets all stay.
+
+    Texts are moved once, to meet the rows that name what stays; copies of one set are dealt by their doc_ids.
+    """
     cols = docs.columns
+    _, named = _named_sets(docs, j)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "set_id")).alias("k")
+    keepers = named.groupBy("component").agg(first).select(F.col("k.least").alias("__doc"), F.col("k.set_id").alias("__keeps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,14 +367,7 @@ def one_of_each(docs: DataFrame, j: Jaccard = Jaccard()) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(set_ids(h, first), mask=np.diff(first) == 0)], [*cols, "__set"])
 
-    from pyspark.sql.types import LongType, StructType
-
     known = docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__set", LongType()))
-    known = known.join(names.select(F.col("set_id").alias("__s"), F.col("_c").alias("__c")), F.col("__set") == F.col("__s"), "left")
     alone = known.filter("__set is null").select(*cols)
-    row = F.struct(*[F.col(c) for c in cols])
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*[F.col(c) for c in cols]))
-    # A component without any doc_id goes by its sets.
-    group = F.when(F.col("__c.component_id").isNull(), F.col("__set"))
-    grouped = known.filter("__set is not null").groupBy(F.col("__c.component_id").alias("__g"), group.alias("__n")).agg(F.min_by(row, order).alias("__row"))
-    return alone.unionByName(grouped.select("__row.*"))
+    kept = known.filter("__set is not null").join(keepers, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__set") == F.col("__keeps")))
+    return alone.unionByName(kept.dropDuplicates(["doc_id", "__set"]).select(*cols))

@@ -187,3 +187,12 @@ def test_words_and_ngrams():
         assert w.hash[:3].tolist() == v.hash.tolist()
         assert len(tb.ngrams(w, 2)[0]) == 3
         assert tb.whole_hash(w, 3)[0].tolist() == [2, 3]
+
+
+def test_components_joined_by_later_links(spark):
+    from centrova.llm.components import components, joined
+
+    pairs = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labels = components(pairs([(1, 2), (2, 3), (10, 11)]))
+    got = {r["node"]: r["component"] for r in joined(labels, pairs([(3, 11), (20, 21), (1, 3)])).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20}
