@@ -50,14 +50,14 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def _pieces(data: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """(bytes, offsets, first row, bytes before the piece in its row): slices as they are, and a long text in overlapping parts."""
+    """(bytes, offsets, first row, bytes before the piece in its row): slices as they are, and a long text in parts that share length - 1 bytes, each window start in one."""
     limit = tb.SLICE_BYTES
     if len(data) <= limit:
         yield data, offs, 0, 0
         return
     for row in range(len(offs) - 1):
         a, b = int(offs[row]), int(offs[row + 1])
-        for at in range(a, max(a + 1, b - length + 1), limit - length):
+        for at in range(a, max(a + 1, b - length + 1), limit - length + 1):
             stop = min(b, at + limit)
             yield data[at:stop], np.array([0, stop - at]), row, at - a
 

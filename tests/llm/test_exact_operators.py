@@ -57,6 +57,26 @@ def test_segments_of_long_texts_match_those_of_slices(monkeypatch, rows):
     assert set(parts["key"]) == set(whole["key"])
 
 
+def test_each_window_of_a_long_text_is_in_one_piece(monkeypatch, rows):
+    data = np.frombuffer(next(t for d, t, _ in rows if d == 407).encode(), np.uint8)
+    for limit in (4096, len(data) - 1, len(data) - 400):
+        monkeypatch.setattr(tb, "SLICE_BYTES", limit)
+        s = suffix_dedup.segments(data, np.array([0, len(data)]))
+        starts = sorted(a + i for a, n in zip(s["start"].tolist(), s["size"].tolist(), strict=True) for i in range(n - 399))
+        assert starts == list(range(len(data) - 399))
+
+
+def test_suffix_dedup_of_texts_above_a_slice(spark):
+    rng = random.Random(8)
+    unique, passage = ("".join(rng.choices("abcdefghijklmnop \n", k=n)) for n in (1_060_000, 700))
+    at = tb.SLICE_BYTES - 700  # across the end of the first piece
+    table = [(1, unique), (2, unique[:at][::-1] + passage + unique[at:][::-1]), (3, "x" + passage + "y")]
+    want = suffix_dedup.brute_force(table)
+    assert want[1] == []
+    got = suffix_dedup.removed_spans(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [tuple(r["spans"][i : i + 2]) for i in range(0, len(r["spans"]), 2)] for r in got} == want
+
+
 def test_substring_dedup(docs, rows):
     want = substring_dedup.brute_force([r[:2] for r in rows])
     got = {r["doc_id"]: r for r in substring_dedup.removals(with_clashes(docs)).collect()}
