@@ -104,7 +104,7 @@ def kcenter_coreset(points: DataFrame, k: int, mu: float, rho: float, gamma: flo
 
     size = math.ceil((2 / mu) ** rho * k)
     rounds = math.ceil((size + math.sqrt(size)) / (1 - eta))
-    b = kcenter_bicriteria(points, gamma, min(rounds, size), eta, which=which, prior=prior, seed=seed)
+    b = kcenter_bicriteria(points, gamma, rounds, eta, which=which, prior=prior, seed=seed)
     ids = points.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(b.seeds.ids)], "cid int, id long")
     out = b.outliers.select("id", F.lit(1.0).alias("weight"))
     own = b.assigned.join(b.outliers.select("id"), "id", "left_anti").groupBy("cid").agg(F.sum("weight").alias("weight"))

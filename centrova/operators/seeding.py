@@ -166,12 +166,12 @@ class Bicriteria:
 
 
 def kcenter_bicriteria(points: DataFrame, gamma: float, rounds: int, eta: float = 0.1, slack: float = 0.5, which="L2", prior: float = 0.0, seed: int = 0) -> Bicriteria:
-    """More centers than asked for, few outliers: each round samples ceil(ln(1/eta) / (1 - gamma)) of the farthest rows."""
+    """More centers than asked for, few outliers: after a uniform sample of ceil(ln(1/eta) / (1 - gamma)) rows, each round samples as many of the farthest."""
     n = points.count()
     per_round = max(1, math.ceil(math.log(1 / eta) / (1 - gamma)))
     pool = max(1, math.ceil((1 + slack) * gamma * n))
     ids = _draw(points, F.lit(1.0), per_round, 0, seed)
-    for r in range(1, rounds):
+    for r in range(1, rounds + 1):
         costed = _with_cost(points, _rows(points, ids), which, prior).filter(~F.col("id").isin(ids))
         ids += _draw(saved(costed.orderBy(F.desc("cost"), "id").limit(pool)), F.lit(1.0), per_round, r, seed)
     ids = list(dict.fromkeys(ids))

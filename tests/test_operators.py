@@ -111,6 +111,12 @@ def test_coresets(points, rows):
     assert sampling.uniform_coreset(points, 6, 1).agg(F.sum("weight")).first()[0] == pytest.approx(60)
 
 
+def test_kcenter_coreset_runs_all_rounds(points):
+    # L = 4, so ceil((4 + 2) / 0.9) = 7 rounds of 3 rows after the first 3, and 5 outliers
+    core = coreset.kcenter_coreset(points, 2, 1.0, 1.0, 0.05)
+    assert core.count() == 3 + 7 * 3 + 5
+
+
 def test_graph(spark):
     e = graph.both_ways(spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 3, 5.0), (0, 3, 2.0), (7, 8, 1.0)], "src long, dst long, weight double"))
     v = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 7, 8, 9)], "id long")
