@@ -280,7 +280,7 @@ def streaming_ofl(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def thorup_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return _ids(spark, seeding.thorup(embeddings(spark, sf), 2, seed=SEED, eps=4.0, rounds=3)[0].ids)
+    return _ids(spark, seeding.thorup(embeddings(spark, sf), 2, seed=SEED)[0].ids)
 
 
 def kcenter_coreset(spark: SparkSession, sf: str) -> DataFrame:

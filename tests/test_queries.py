@@ -24,3 +24,8 @@ def test_against_duckdb(spark, sf, name):
 
 def test_every_oracle_has_a_query():
     assert set(oracles.oracle_sql()) <= set(queries.queries())
+
+
+def test_thorup_sample_ends_by_its_own_rule(spark, sf):
+    got = {r["id"] for r in queries.queries()["thorup_sample"](spark, sf).collect()}
+    assert got == {r["id"] for r in queries.embeddings(spark, sf).select("id").collect()}  # 500 rows are less than a batch of 522
