@@ -229,27 +229,11 @@ def cluster(points: DataFrame, options: ClusterOptions) -> Clustering:
     return hard(points, seeds.centers, o.measure, o.prior, o.epsilon, o.max_iterations, o.seed)
 
 
-def hierarchical(points: DataFrame, radix: int, which="SQRL2", prior: float = 0.0, seed: int = 0, max_depth: int = 8) -> DataFrame:
-    """node_path array<int>, depth, id: clusters of more than radix rows are split into radix parts, level by level."""
-    open_nodes, done = [((), points)], None
-    for depth in range(1, max_depth + 1):
-        nxt = []
-        for path, part in open_nodes:
-            seeds = kmeanspp(part, radix, which, prior, seed + 31 * depth + sum(path))
-            h = hard(part, seeds.centers, which, prior, max_iterations=10, seed=seed)
-            own = saved(h.assigned.select("id", "features", "weight", "cid"))
-            sizes = {r["cid"]: r["count"] for r in own.groupBy("cid").count().collect()}  # radix rows
-            for c, n in sorted(sizes.items()):
-                leaf = own.filter(F.col("cid") == c).drop("cid")
-                if n > radix and len(sizes) > 1 and depth < max_depth:
-                    nxt.append(((*path, c), leaf))
-                else:
-                    rows = leaf.select(F.array(*[F.lit(x) for x in (*path, c)]).cast("array<int>").alias("node_path"), F.lit(depth).alias("depth"), "id")
-                    done = rows if done is None else done.union(rows)
-        open_nodes = nxt
-        if not open_nodes:
-            break
-    return done
+def hierarchical(points: DataFrame, radix: int, which="SQRL2", prior: float = 0.0, seed: int = 0) -> DataFrame:
+    """node_path array<int>, depth, id: clusters are split into radix parts until each has at most radix rows or cannot be split."""
+    from centrova.operators.tree import leaves
+
+    return leaves(points, radix, which, prior, seed)
 
 
 def assignment_histogram(assigned: DataFrame) -> DataFrame:

@@ -272,7 +272,7 @@ def minibatch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hierarchical(spark: SparkSession, sf: str) -> DataFrame:
-    return clustering.hierarchical(embeddings(spark, sf), 4, seed=SEED, max_depth=2)
+    return clustering.hierarchical(embeddings(spark, sf), 4, seed=SEED)
 
 
 def streaming_ofl(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from centrova import schema
-from centrova.operators import centroids, clustering, coreset, graph, lsh, matrix, metric, pairwise, sampling, seeding
+from centrova.operators import centroids, clustering, coreset, graph, lsh, matrix, metric, pairwise, sampling, seeding, tree
 from centrova.options import ClusterOptions
 
 
@@ -111,6 +111,45 @@ def test_coresets(points, rows):
     assert sampling.uniform_coreset(points, 6, 1).agg(F.sum("weight")).first()[0] == pytest.approx(60)
 
 
+def recursive(points, radix, seed, path=()):
+    """(path, id) of the leaves, by the operators over one node at a time."""
+    seeds = seeding.kmeanspp(points, radix, seed=seed + 31 * (len(path) + 1) + sum(path))
+    own = clustering.hard(points, seeds.centers, max_iterations=10, seed=seed).assigned
+    found = own.select("cid", "id").collect()
+    out = set()
+    for c in {r["cid"] for r in found}:
+        ids = [r["id"] for r in found if r["cid"] == c]
+        if len(ids) > radix and len(ids) < len(found):
+            out |= recursive(points.filter(F.col("id").isin(ids)), radix, seed, (*path, c))
+        else:
+            out |= {((*path, c), i) for i in ids}
+    return out
+
+
+def test_hierarchical_matches_a_recursive_version(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = [*rng.normal(0, 1, (16, 2)).tolist(), *[[9.0, 9.0]] * 6]
+    points = spark.createDataFrame([(i, v, 1.0) for i, v in enumerate(x)], "id long, features array<double>, weight double").coalesce(2).cache()
+    want = recursive(points, 2, 3)
+    assert len({p for p, i in want if i >= 16}) == 1  # six equal rows cannot be split
+    for local_values in (tree.LOCAL_VALUES, 20, 0):
+        monkeypatch.setattr(tree, "LOCAL_VALUES", local_values)
+        got = clustering.hierarchical(points, 2, seed=3).collect()
+        assert all(r["depth"] == len(r["node_path"]) for r in got)
+        assert sorted((tuple(r["node_path"]), r["id"]) for r in got) == sorted(want)
+
+
+def test_hierarchical_goes_on_below_any_depth(spark):
+    points = spark.createDataFrame([(i, [3.0**i], 1.0) for i in range(30)], "id long, features array<double>, weight double")
+    got = clustering.hierarchical(points, 2).collect()
+    sizes = {}
+    for r in got:
+        sizes[tuple(r["node_path"])] = sizes.get(tuple(r["node_path"]), 0) + 1
+    assert sum(sizes.values()) == 30
+    assert max(sizes.values()) <= 2
+    assert max(r["depth"] for r in got) > 8
+
+
 def test_kcenter_coreset_runs_all_rounds(points):
     # L = 4, so ceil((4 + 2) / 0.9) = 7 rounds of 3 rows after the first 3, and 5 outliers
     core = coreset.kcenter_coreset(points, 2, 1.0, 1.0, 0.05)

@@ -29,3 +29,9 @@ def test_every_oracle_has_a_query():
 def test_thorup_sample_ends_by_its_own_rule(spark, sf):
     got = {r["id"] for r in queries.queries()["thorup_sample"](spark, sf).collect()}
     assert got == {r["id"] for r in queries.embeddings(spark, sf).select("id").collect()}  # 500 rows are less than a batch of 522
+
+
+def test_hierarchical_ends_at_the_radix(spark, sf):
+    got = [tuple(r["node_path"]) for r in queries.queries()["hierarchical"](spark, sf).collect()]
+    assert len(got) == queries.embeddings(spark, sf).count()
+    assert max(got.count(p) for p in set(got)) <= 4  # no five rows are equal
