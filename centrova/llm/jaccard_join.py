@@ -177,7 +177,17 @@ def _sketched(docs: DataFrame, needed: DataFrame, j: Jaccard) -> DataFrame:
                 own = pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first).astype(np.int64)), lists, batch.column(1).slice(lo, hi - lo)], ["set_id", "n", "sketch", "text"])
                 yield own.filter(pa.array(ids.to_numpy() == set_ids(h, first)))  # rows may share a doc_id
 
-    return texts(docs).join(needed, "doc_id").select("set_id", "text").mapInArrow(run, "set_id long, n long, sketch array<long>, text string")
+    def of_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offs in tb.slices(batch.column(0)):
+                h, _, first = shingle_sets(data, offs, j.words)
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, first)), batch.column(0).slice(lo, hi - lo)], ["set_id", "text"])
+
+    named = texts(docs).join(needed, "doc_id").select("set_id", "text")
+    # Sets that only rows with a null doc_id hold have no name to join by: these rows are met by their sets.
+    nameless = texts(docs).filter("doc_id is null").select("text").mapInArrow(of_set, "set_id long, text string").groupBy("set_id").agg(F.min("text").alias("text"))
+    nameless = nameless.join(needed.filter("doc_id is null").select("set_id"), "set_id").select("set_id", "text")
+    return named.unionByName(nameless).mapInArrow(run, "set_id long, n long, sketch array<long>, text string")
 
 
 def _distance(x: Column, y: Column) -> Column:

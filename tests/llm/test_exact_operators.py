@@ -216,3 +216,16 @@ def test_components_joined_by_later_links(spark):
     labels = components(pairs([(1, 2), (2, 3), (10, 11)]))
     got = {r["node"]: r["component"] for r in joined(labels, pairs([(3, 11), (20, 21), (1, 3)])).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20}
+
+
+def test_near_copies_with_null_ids(spark):
+    def edited(n: int, *at: int) -> str:
+        return " ".join(f"edit{i}" if i in at else f"word{i}" for i in range(n))
+
+    # 1 and 2 link only through the row without an id; 3 has no near copy
+    chain = [(1, edited(90)), (None, edited(90, 30)), (2, edited(90, 30, 60)), (3, "other words of another text")]
+    got = jaccard_join.components_by_id(spark.createDataFrame(chain, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got) == [(0, 1), (1, 1), (2, 1), (3, 3)]
+    nameless = [(None, edited(200, 10 * i)) for i in range(1, 4)] + [(None, "other words of another text")]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(nameless, "doc_id long, text string")).collect()
+    assert sorted(len(r["text"].split()) for r in kept) == [5, 200]
