@@ -12,10 +12,12 @@ differ, so it is among the first D + 1 filled blocks of either set: each set emi
 depends on the size band (a doubling); a set emits in its own band and, if a larger partner may be in the next one, there too.  A
 set with no more than D filled blocks could lack such an i, but then so must its partner: these rare sets share one further key.
 
-*Verify.*  Within a key every set is compared with the least and the greatest set, exactly.  Sets of a key that are still in
-different components are then compared by Hamming distance of folded sketches, in tiles of bounded size, and every pair that the
-distance allows is verified, first the closest one to each other component, then all.  Pairs inside one component are not looked
-at, since they can change nothing; so no link between components is missed and no group is expanded to all its pairs.
+*Verify.*  Within a key every set is paired with the least and the greatest set; sizes and folded sketches thin these pairs out
+before any text moves, and texts are fetched only for what is left, one text of each set, for one pair of each set first.  Sets of
+a key that are still in different components are then compared by Hamming distance of folded sketches, in tiles of bounded size,
+and every pair that the distance allows is verified, first the closest one to each other component, then all.  Pairs inside one
+component are not looked at, since they can change nothing; so no link between components is missed and no group is expanded to
+all its pairs.
 
 Equal sets are one node from the start.  Defined results: a null or word-less text has an empty set and links with nothing; a text
 of fewer than k words has one shingle, its whole sequence; repeated rows each give a row; null doc_ids stay null and are never a
@@ -36,11 +38,13 @@ from pyspark.sql.types import LongType, StructType
 
 from centrova.llm import textbytes as tb
 from centrova.llm.components import components, joined
-from centrova.llm.frames import drop, release, saved, stored, texts
+from centrova.llm.frames import bounded_broadcast, drop, release, saved, stored, texts
 
 U64 = np.uint64
 #: Sets per side of a tile of sketch comparisons, and rows of smaller keys that share a group.
 TILE, GROUP_ROWS = 1024, 5000
+#: Names of sets (16 bytes each) that are broadcast to fetch their texts; more meet the texts in a shuffled join.
+BROADCAST_SETS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -133,18 +137,20 @@ def folded_sketches(h: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[
     return offs, np.packbits(odd, bitorder="little").view(np.uint64)
 
 
-def set_sizes(docs: DataFrame, j: Jaccard) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for an empty set)."""
+def set_rows(docs: DataFrame, j: Jaccard) -> DataFrame:
+    """doc_id, n_shingles, set_id (null for an empty set), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in tb.slices(batch.column(1)):
-                h, _, first = shingle_sets(data, offs, j.words)
+                h, doc, first = shingle_sets(data, offs, j.words)
                 n = np.diff(first).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(set_ids(h, first), mask=n == 0)], ["doc_id", "n_shingles", "set_id"])
+                at, sketch = folded_sketches(h, doc, first)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tb.signed(sketch)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(set_ids(h, first), mask=n == 0), lists], ["doc_id", "n_shingles", "set_id", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long")
+    return texts(docs).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, sketch array<long>")
 
 
 def emitted(docs: DataFrame, j: Jaccard) -> DataFrame:
@@ -164,42 +170,45 @@ def emitted(docs: DataFrame, j: Jaccard) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, set_id long")
 
 
-def _sketched(docs: DataFrame, needed: DataFrame, j: Jaccard) -> DataFrame:
-    """set_id, n, sketch, text: one text of each needed set (set_id, doc_id)."""
+def _distance(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in tb.slices(batch.column(1)):
-                h, doc, first = shingle_sets(data, offs, j.words)
-                at, sketch = folded_sketches(h, doc, first)
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tb.signed(sketch)))
-                ids = batch.column(0).slice(lo, hi - lo)
-                own = pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first).astype(np.int64)), lists, batch.column(1).slice(lo, hi - lo)], ["set_id", "n", "sketch", "text"])
-                yield own.filter(pa.array(ids.to_numpy() == set_ids(h, first)))  # rows may share a doc_id
 
-    def of_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in tb.slices(batch.column(0)):
-                h, _, first = shingle_sets(data, offs, j.words)
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, first)), batch.column(0).slice(lo, hi - lo)], ["set_id", "text"])
+def likely(pairs: DataFrame, sets: DataFrame, j: Jaccard) -> DataFrame:
+    """The pairs (a, b, ...) that sizes and sketches allow; sketches of different width are left to the texts."""
+    x, y = (sets.select(F.col("set_id").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in ("n", "sketch")]) for c in ("a", "b"))
+    sizes = 100 * F.least("n_a", "n_b") >= j.percent * F.greatest("n_a", "n_b")
+    apart = _distance(F.col("sketch_a"), F.col("sketch_b")) * (100 + j.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - j.percent)
+    near = F.when(F.size("sketch_a") == F.size("sketch_b"), apart).otherwise(F.lit(True))
+    return pairs.join(x, "a").join(y, "b").filter(sizes).filter(near).select(*pairs.columns)
 
-    named = texts(docs).join(needed, "doc_id").select("set_id", "text")
-    # Sets that only rows with a null doc_id hold have no name to join by: these rows are met by their sets.
-    nameless = texts(docs).filter("doc_id is null").select("text").mapInArrow(of_set, "set_id long, text string").groupBy("set_id").agg(F.min("text").alias("text"))
-    nameless = nameless.join(needed.filter("doc_id is null").select("set_id"), "set_id").select("set_id", "text")
-    return named.unionByName(nameless).mapInArrow(run, "set_id long, n long, sketch array<long>, text string")
 
+def _texts_of(docs: DataFrame, wanted: DataFrame, j: Jaccard) -> DataFrame:
+    """set_id, text: one text of each wanted set (set_id, name: a doc_id that holds it, null if only rows without one do)."""
 
-def _distance(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    def sets_of(with_id: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi, data, offs in tb.slices(batch.column(0)):
+                    h, _, first = shingle_sets(data, offs, j.words)
+                    ids, own = set_ids(h, first), batch.column(0).slice(lo, hi - lo)
+                    rows = pa.RecordBatch.from_arrays([pa.array(ids), own], ["set_id", "text"])
+                    # rows may share a doc_id, so a name alone does not give the set
+                    yield rows.filter(pa.array(batch.column(1).slice(lo, hi - lo).to_numpy() == ids)) if with_id else rows
 
+        return run
 
-def verified(pairs: DataFrame, sets: DataFrame, j: Jaccard) -> DataFrame:
-    """The pairs (a, b) that link: by sizes and sketches first, then by the whole sets, made anew from the two texts."""
-    x, y = (sets.select(F.col("set_id").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in ("n", "sketch", "text")]) for c in ("a", "b"))
-    total = F.col("n_a") + F.col("n_b")
-    sizes = 100 * F.least("n_a", "n_b") >= j.percent * F.greatest("n_a", "n_b")
-    near = F.when(F.size("sketch_a") == F.size("sketch_b"), _distance(F.col("sketch_a"), F.col("sketch_b")) * (100 + j.percent) <= total * (100 - j.percent)).otherwise(F.lit(True))
+    named = bounded_broadcast(wanted.filter("name is not null"), BROADCAST_SETS)
+    out = texts(docs).join(named, F.col("doc_id") == F.col("name")).select("text", "set_id").mapInArrow(sets_of(True), "set_id long, text string")
+    nameless = wanted.filter("name is null").select("set_id")
+    if nameless.limit(1).count():
+        found = texts(docs).filter("doc_id is null").select("text").mapInArrow(sets_of(False), "set_id long, text string")
+        out = out.unionByName(found.join(bounded_broadcast(nameless, BROADCAST_SETS), "set_id").select("set_id", "text"))
+    return out.groupBy("set_id").agg(F.min("text").alias("text"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, j: Jaccard) -> DataFrame:
+    """The pairs (a, b) that link, by the whole sets, made anew from one text of each set; saved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,8 +226,13 @@ def verified(pairs: DataFrame, sets: DataFrame, j: Jaccard) -> DataFrame:
                 keep[i] = 100 * both >= j.percent * (len(a) + len(b) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    likely = pairs.join(x, "a").join(y, "b").filter(sizes).filter(near)
-    return likely.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    held, path = stored(_texts_of(docs, saved(sets.select("set_id", "name").join(ends, "set_id")), j))
+    x, y = (held.select(F.col("set_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+    links = saved(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+    drop(docs.sparkSession, path)
+    release(docs.sparkSession)
+    return links
 
 
 def _tile_pairs(j: Jaccard, closest: bool):
@@ -312,23 +326,57 @@ def _pigeonholed(docs: DataFrame, j: Jaccard) -> DataFrame:
     return saved(rows.join(keys, "key").select("key", "set_id", "lo", "hi").distinct())
 
 
-def linked_sets(docs: DataFrame, sized: DataFrame, j: Jaccard) -> DataFrame:
-    """node, component for the sets (by set_id) that link with another one."""
+def _of_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b, shared) between different components, with these as of_a, of_b (the lesser first)."""
+    for c in ("a", "b"):
+        of = labels.select(F.col("node").alias(c), F.col("component").alias(f"at_{c}"))
+        pairs = pairs.join(of, c, "left").withColumn(f"at_{c}", F.coalesce(f"at_{c}", c))
+    return pairs.filter("at_a != at_b").select("a", "b", "shared", F.least("at_a", "at_b").alias("of_a"), F.greatest("at_a", "at_b").alias("of_b"))
+
+
+def _linked_stars(docs: DataFrame, members: DataFrame, sets: DataFrame, j: Jaccard) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of each set with the least and greatest set of its keys; node, component by the links among these).
+
+    Texts are moved for as few pairs as may do: the pair of each set that shares most keys, then the one of each two components
+    that are still apart, then what is left between components.
+    """
     spark = docs.sparkSession
-    members = _pigeonholed(docs, j)
+    stars = members.select("set_id", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("end")).filter("set_id != end")
+    asked = saved(stars.groupBy(F.least("set_id", "end").alias("a"), F.greatest("set_id", "end").alias("b")).agg(F.count("*").alias("shared")))
     release(spark)
-    needed = members.select("set_id").distinct().join(sized.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "set_id")
-    sets, path = stored(_sketched(docs, needed, j))
+    near = saved(likely(asked, sets, j))
     release(spark)
-    stars = members.select("set_id", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("end")).filter("set_id != end")
-    asked = saved(stars.select(F.least("set_id", "end").alias("a"), F.greatest("set_id", "end").alias("b")).distinct())
-    labels = components(saved(verified(asked, sets, j)))
+    ends = near.select(F.col("a").alias("s"), "shared", "a", "b").union(near.select(F.col("b").alias("s"), "shared", "a", "b"))
+    best = saved(ends.groupBy("s").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+    labels = components(verified(best, docs, sets, j))
+    for one in (True, False):
+        rest = _of_components(near.join(best, ["a", "b"], "left_anti"), labels)
+        if one:
+            rest = rest.groupBy("of_a", "of_b").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b")
+        rest = saved(rest.select("a", "b"))
+        if rest.limit(1).count() == 0:
+            break
+        links, best = verified(rest, docs, sets, j), best.union(rest)
+        if links.limit(1).count():
+            labels = joined(labels, links)
+    release(spark)
+    return asked.select("a", "b"), labels
+
+
+def linked_sets(docs: DataFrame, wide: DataFrame, j: Jaccard) -> DataFrame:
+    """node, component for the sets (by set_id) that link with another one; wide: the rows of set_rows."""
+    spark = docs.sparkSession
+    members = _pigeonholed(docs, j)
+    release(spark)
+    every = wide.filter("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("name"))
+    sets, path = stored(every.join(members.select("set_id").distinct(), "set_id"))
     release(spark)
+    asked, labels = _linked_stars(docs, members, sets, j)
     members = _open_members(members, labels)
     total = members.count()
     for closest in (True, False) if total else ():
         pairs = saved(_across(members, total, sets, labels, j, closest).join(asked, ["a", "b"], "left_anti"))
-        links = saved(verified(pairs, sets, j))
+        links = verified(pairs, docs, sets, j)
         if links.limit(1).count():
             labels = joined(labels, links)
         asked = asked.union(pairs)
@@ -339,8 +387,10 @@ def linked_sets(docs: DataFrame, sized: DataFrame, j: Jaccard) -> DataFrame:
 
 def _named_sets(docs: DataFrame, j: Jaccard) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, set_id of every document; set_id, least doc_id of the set, component of every set)."""
-    sized = saved(set_sizes(docs, j))
-    labels = linked_sets(docs, sized, j)
+    wide, path = stored(set_rows(docs, j))
+    sized = saved(wide.select("doc_id", "n_shingles", "set_id"))
+    labels = linked_sets(docs, wide, j)
+    drop(docs.sparkSession, path)
     least = sized.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, F.col("set_id") == F.col("node"), "left")
     return sized, saved(named.select("set_id", "least", F.coalesce("component", "set_id").alias("component")))
