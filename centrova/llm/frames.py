@@ -5,11 +5,13 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no folder, as in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Rows of two or three numbers that may be broadcast, and such rows that a task of a later job should have.
+SMALL_ROWS, TASK_ROWS = 500_000, 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``saved``, with its rows (``n``) and further metrics observed in the same job; a frame of few rows has few partitions."""
+    seen = Observation()
+    out = saved(df.observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in metrics.items()]))
+    found = seen.get
+    return out.coalesce(max(1, -(-found["n"] // TASK_ROWS))), found
+
+
+def hinted(df: DataFrame, n: int) -> DataFrame:
+    """A frame of n narrow rows, with a broadcast hint if these are few; else Spark chooses, as by shuffling it."""
+    return F.broadcast(df) if n <= SMALL_ROWS else df
+
+
 def _folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
 

@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from centrova.llm import textbytes as tb
-from centrova.llm.components import components, joined
-from centrova.llm.frames import bounded_broadcast, drop, release, saved, stored, texts
+from centrova.llm.components import Labels, components, joined
+from centrova.llm.frames import bounded_broadcast, counted, drop, hinted, release, saved, stored, texts
 
 U64 = np.uint64
 #: Sets per side of a tile of sketch comparisons, and rows of smaller keys that share a group.
@@ -207,8 +207,17 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, j: Jaccard) -> DataFrame:
     return out.groupBy("set_id").agg(F.min("text").alias("text"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, j: Jaccard) -> DataFrame:
-    """The pairs (a, b) that link, by the whole sets, made anew from one text of each set; saved."""
+def held_texts(docs: DataFrame, pairs: DataFrame, sets: DataFrame, j: Jaccard) -> tuple[DataFrame, str]:
+    """set_id, text of every set in pairs (a, b), as a stored table, and its path."""
+    ends, found = counted(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+    names = saved(sets.select("set_id", "name").join(hinted(ends, found["n"]), "set_id"))
+    held, path = stored(_texts_of(docs, names, j))
+    release(docs.sparkSession)
+    return held, path
+
+
+def verified(pairs: DataFrame, held: DataFrame, j: Jaccard) -> tuple[DataFrame, int]:
+    """The pairs (a, b) that link, by the whole sets, made anew from the held texts; and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,13 +235,10 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, j: Jaccard) ->
                 keep[i] = 100 * both >= j.percent * (len(a) + len(b) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    held, path = stored(_texts_of(docs, saved(sets.select("set_id", "name").join(ends, "set_id")), j))
     x, y = (held.select(F.col("set_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    links = saved(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
-    drop(docs.sparkSession, path)
-    release(docs.sparkSession)
-    return links
+    links, found = counted(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+    release(held.sparkSession)
+    return links, found["n"]
 
 
 def _tile_pairs(j: Jaccard, closest: bool):
@@ -282,30 +288,31 @@ def _tile_pairs(j: Jaccard, closest: bool):
     return run
 
 
-def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _named(members: DataFrame, labels: Labels) -> DataFrame:
     """key, set_id, component of members; a set without links is its own component."""
-    of = labels.select(F.col("node").alias("set_id"), "component")
-    return members.select("key", "set_id").join(of, "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
+    return members.select("key", "set_id").join(labels.of("set_id", "component"), "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
 
 
-def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, set_id of the keys that hold several components.
+def _open_members(members: DataFrame, labels: Labels) -> tuple[DataFrame, int]:
+    """key, set_id of the keys that hold several components, and their number.
 
     Keys of up to three sets are done with: their least and greatest set were compared with all others.  Keys that hold the same
     sets give the same pairs: one of them is enough.
     """
     named = _named(members, labels)
     keys = named.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"), F.count("*").alias("m"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("same"))
-    keys = saved(keys.filter("c_lo != c_hi and m > 3").groupBy("m", "same").agg(F.min("key").alias("key")).select("key"))
-    return saved(members.select("key", "set_id").join(keys, "key"))
+    keys, found = counted(keys.filter("c_lo != c_hi and m > 3").groupBy("m", "same").agg(F.min("key").alias("key")).select("key"))
+    out, total = counted(members.select("key", "set_id").join(hinted(keys, found["n"]), "key"))
+    return out, total["n"]
 
 
-def _across(members: DataFrame, total: int, sets: DataFrame, labels: DataFrame, j: Jaccard, closest: bool) -> DataFrame:
+def _across(members: DataFrame, total: int, sets: DataFrame, labels: Labels, j: Jaccard, closest: bool) -> DataFrame:
     """Pairs (a, b) of one key and different components that the sketches allow; total: the rows of members."""
     named = _named(members, labels)
     parts = named.groupBy("key", "component").agg(F.count("*").alias("n_part"))
     whole = parts.groupBy("key").agg(F.max(F.struct("n_part", "component"))["component"].alias("main"), F.sum("n_part").alias("m"), F.max("n_part").alias("n_main"))
-    named = named.join(saved(whole.filter("m > n_main")), "key")
+    keys, found = counted(whole.filter("m > n_main"))
+    named = named.join(hinted(keys, found["n"]), "key")
     base_tiles, probe_tiles = F.ceil(F.col("m") / TILE).cast("int"), F.ceil((F.col("m") - F.col("n_main")) / TILE).cast("int")
     own, probe = F.xxhash64("set_id", F.lit(7)), F.col("component") != F.col("main")
     # Every set is base in its tile for each probe tile; a set outside the main component is also a probe in its tile for each base tile.
@@ -326,45 +333,39 @@ def _pigeonholed(docs: DataFrame, j: Jaccard) -> DataFrame:
     return saved(rows.join(keys, "key").select("key", "set_id", "lo", "hi").distinct())
 
 
-def _of_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b, shared) between different components, with these as of_a, of_b (the lesser first)."""
-    for c in ("a", "b"):
-        of = labels.select(F.col("node").alias(c), F.col("component").alias(f"at_{c}"))
-        pairs = pairs.join(of, c, "left").withColumn(f"at_{c}", F.coalesce(f"at_{c}", c))
-    return pairs.filter("at_a != at_b").select("a", "b", "shared", F.least("at_a", "at_b").alias("of_a"), F.greatest("at_a", "at_b").alias("of_b"))
+def _apart(pairs: DataFrame, labels: Labels) -> DataFrame:
+    """The pairs (a, b) between different components."""
+    named = pairs.select("a", "b").join(labels.of("a", "at_a"), "a", "left").join(labels.of("b", "at_b"), "b", "left")
+    return named.filter(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b")
 
 
-def _linked_stars(docs: DataFrame, members: DataFrame, sets: DataFrame, j: Jaccard) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b) of each set with the least and greatest set of its keys; node, component by the links among these).
+def _linked_stars(docs: DataFrame, members: DataFrame, sets: DataFrame, j: Jaccard) -> tuple[DataFrame, Labels]:
+    """(pairs (a, b) of each set with the least and greatest set of its keys; labels by the links among these).
 
-    Texts are moved for as few pairs as may do: the pair of each set that shares most keys, then the one of each two components
-    that are still apart, then what is left between components.
+    Texts are moved for as few pairs as may do: the pair of each set that shares most keys, then what is left between components.
     """
     spark = docs.sparkSession
     stars = members.select("set_id", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("end")).filter("set_id != end")
     asked = saved(stars.groupBy(F.least("set_id", "end").alias("a"), F.greatest("set_id", "end").alias("b")).agg(F.count("*").alias("shared")))
     release(spark)
-    near = saved(likely(asked, sets, j))
+    near, found = counted(likely(asked, sets, j))
     release(spark)
+    held, path = held_texts(docs, near, sets, j)
     ends = near.select(F.col("a").alias("s"), "shared", "a", "b").union(near.select(F.col("b").alias("s"), "shared", "a", "b"))
-    best = saved(ends.groupBy("s").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
-    labels = components(verified(best, docs, sets, j))
-    for one in (True, False):
-        rest = _of_components(near.join(best, ["a", "b"], "left_anti"), labels)
-        if one:
-            rest = rest.groupBy("of_a", "of_b").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b")
-        rest = saved(rest.select("a", "b"))
-        if rest.limit(1).count() == 0:
-            break
-        links, best = verified(rest, docs, sets, j), best.union(rest)
-        if links.limit(1).count():
-            labels = joined(labels, links)
+    best = ends.groupBy("s").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    best, some = counted(best)
+    labels = components(verified(best, held, j)[0])
+    rest, some = counted(_apart(near.join(hinted(best, some["n"]), ["a", "b"], "left_anti"), labels))
+    if some["n"]:
+        links, n = verified(rest, held, j)
+        labels = joined(labels, links) if n else labels
+    drop(spark, path)
     release(spark)
     return asked.select("a", "b"), labels
 
 
-def linked_sets(docs: DataFrame, wide: DataFrame, j: Jaccard) -> DataFrame:
-    """node, component for the sets (by set_id) that link with another one; wide: the rows of set_rows."""
+def linked_sets(docs: DataFrame, wide: DataFrame, j: Jaccard) -> Labels:
+    """The labels of the sets (by set_id) that link with another one; wide: the rows of set_rows."""
     spark = docs.sparkSession
     members = _pigeonholed(docs, j)
     release(spark)
@@ -372,14 +373,18 @@ def linked_sets(docs: DataFrame, wide: DataFrame, j: Jaccard) -> DataFrame:
     sets, path = stored(every.join(members.select("set_id").distinct(), "set_id"))
     release(spark)
     asked, labels = _linked_stars(docs, members, sets, j)
-    members = _open_members(members, labels)
-    total = members.count()
+    members, total = _open_members(members, labels)
     for closest in (True, False) if total else ():
-        pairs = saved(_across(members, total, sets, labels, j, closest).join(asked, ["a", "b"], "left_anti"))
-        links = verified(pairs, docs, sets, j)
-        if links.limit(1).count():
-            labels = joined(labels, links)
-        asked = asked.union(pairs)
+        allowed, found = counted(_across(members, total, sets, labels, j, closest))
+        if not found["n"]:
+            break  # no pair of different components is close enough
+        pairs, found = counted(allowed.join(asked, ["a", "b"], "left_anti"))
+        if found["n"]:
+            held, texts_path = held_texts(docs, pairs, sets, j)
+            links, n = verified(pairs, held, j)
+            labels = joined(labels, links) if n else labels
+            drop(spark, texts_path)
+            asked = asked.union(pairs)
         release(spark)
     drop(spark, path)
     return labels
@@ -392,7 +397,7 @@ def _named_sets(docs: DataFrame, j: Jaccard) -> tuple[DataFrame, DataFrame]:
     labels = linked_sets(docs, wide, j)
     drop(docs.sparkSession, path)
     least = sized.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    named = least.join(labels, F.col("set_id") == F.col("node"), "left")
+    named = least.join(labels.of("set_id", "component"), "set_id", "left")
     return sized, saved(named.select("set_id", "least", F.coalesce("component", "set_id").alias("component")))
 
 
