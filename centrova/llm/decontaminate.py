@@ -6,11 +6,12 @@ whole containment is the single rarest one, by its count over all documents.  Te
 place in the window gives the only start the window can have (positional bound), which must leave room for the whole window
 within the text (length bound); then all the window's words are compared.
 
-Windows go to the workers in blocks of at most ``block`` rows, one pass over the documents per block, so what is broadcast is
-bounded however many items there are.
+Windows go to the workers in blocks of at most ``block`` windows and names of their items, one pass over the documents per block, so
+what is broadcast is bounded however many items there are, unless one window alone has more items.
 
 Defined results: null or word-less texts have no words and no hits; word-less items have no window; items of equal text all
-count; items with null item_id are not looked for; repeated document rows each give a row; other columns are not read.
+count; the windows of items with null item_id are looked for and hit words, but such items are not named or counted among the items
+found; repeated document rows each give a row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
                 lists = [h[s : s + k].tolist() for s, k in zip(starts, size, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(owner)), pa.array(lists, pa.list_(pa.int64()))], ["item", "words"])
 
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("item is not null")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "item string, words array<long>").groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
@@ -70,13 +71,14 @@ def _shingle_counts(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {k: np.zeros(len(v), np.int64) for k, v in sent.value.items()}
+        lookups = {k: _Lookup(v) for k, v in sent.value.items()}
         for batch in batches:
             for _, _, data, offs in tb.slices(batch.column(0)):
                 w = tb.words(data, offs, tb.ALNUM, tb.FOLDED)
-                for k, keys in sent.value.items():
+                for k, own in lookups.items():
                     _, h = tb.ngrams(w, k)
-                    at = _find(keys, h)
-                    total[k] += np.bincount(at[at >= 0], minlength=len(keys))
+                    at = own.find(h)
+                    total[k] += np.bincount(at[at >= 0], minlength=len(own.keys))
         for k, v in total.items():
             seen = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), k, np.int32)), pa.array(seen), pa.array(v[seen])], ["k", "i", "n"])
@@ -88,32 +90,24 @@ def _shingle_counts(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[int,
     return out
 
 
-def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Index of each hash in the sorted keys, or -1.  A bit table passes over nearly all absent hashes first."""
-    out = np.full(len(h), -1, np.int64)
-    if not len(keys) or not len(h):
-        return out
-    bits = max(16, int(np.ceil(np.log2(len(keys)))) + 5)
-    may = _bit_table(keys, bits)[h >> np.uint64(64 - bits)]
-    at = np.flatnonzero(may)
-    j = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-    ok = keys[j] == h[at]
-    out[at[ok]] = j[ok]
-    return out
-
+class _Lookup:
+    """Places of hashes in sorted keys; a bit table passes over nearly all absent hashes first."""
 
-_tables: dict[tuple, np.ndarray] = {}
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(16, int(np.ceil(np.log2(max(len(keys), 1)))) + 5)
+        self.may = np.zeros(1 << self.bits, bool)
+        self.may[keys >> np.uint64(64 - self.bits)] = True
 
-
-def _bit_table(keys: np.ndarray, bits: int) -> np.ndarray:
-    tag = (len(keys), int(keys[0]), int(keys[-1]), bits)
-    if tag not in _tables:
-        if len(_tables) > 8:
-            _tables.clear()
-        t = np.zeros(1 << bits, bool)
-        t[keys >> np.uint64(64 - bits)] = True
-        _tables[tag] = t
-    return _tables[tag]
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Index of each hash in the keys, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        if not len(self.keys) or not len(h):
+            return out
+        at = np.flatnonzero(self.may[h >> np.uint64(64 - self.bits)])
+        j = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        ok = self.keys[j] == h[at]
+        out[at[ok]] = j[ok]
+        return out
 
 
 def _prefixes(docs: DataFrame, words: np.ndarray, size: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,13 +147,14 @@ def _block_hits(docs: DataFrame, block: list, width: int, shingle: int, carry: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, words, rare_at, probe, items = sent.value
+        lookups = {k: _Lookup(keys) for k, (keys, _, _) in probe.items()}
         for batch in batches:
             for lo, hi, data, offs in tb.slices(batch.column(0)):
                 w = tb.words(data, offs, tb.ALNUM, tb.FOLDED)
                 starts, wins = [], []
-                for k, (keys, first, rows) in probe.items():
+                for k, (_, first, rows) in probe.items():
                     at, h = tb.ngrams(w, k)
-                    j = _find(keys, h)
+                    j = lookups[k].find(h)
                     hit = np.flatnonzero(j >= 0)
                     j, at = j[hit], at[hit]
                     many = first[j + 1] - first[j]
@@ -204,10 +199,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, carry: list[str], width: int,
     blocks are passes of their own; their results meet by row in a shuffle.
     """
     windows = saved(benchmark_windows(benchmark, width))
-    total = windows.count()
+    total = windows.agg(F.sum(F.greatest(F.lit(1), F.size("items"))).alias("n")).first()["n"] or 0
     if total <= block:
         return _block_hits(docs, windows.collect(), width, shingle, carry)
-    n = 2 * -(-total // block)  # by hash, so that a block is half full and hardly ever above the limit
+    n = -(-total * 9 // (block * 8))  # by hash, so that a block is nearly full and seldom above the limit
     keyed = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
     parts = []
     for i in range(n):
@@ -240,7 +235,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shi
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """The rows of docs in which no window occurs, with all their columns (whose names must not begin with two underscores)."""
-    return _found(docs, benchmark, docs.columns, width, shingle, block).filter(F.size("__items") == 0).select(*docs.columns)
+    return _found(docs, benchmark, docs.columns, width, shingle, block).filter(F.size("__edges") == 0).select(*docs.columns)
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 DECONTAMINATION = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, {_ALNUM}) AS ws FROM {{docs}}
-), b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_FOLD}, {_ALNUM}) AS ws FROM {{benchmark}} WHERE item_id IS NOT NULL
+), b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_FOLD}, {_ALNUM}) AS ws FROM {{benchmark}}
 ), bw AS (
   SELECT DISTINCT item, k, array_to_string(ws[i : i + k - 1], ' ') AS win
   FROM (SELECT item, ws, least(10, len(ws)) AS k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)
@@ -42,7 +42,7 @@ WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, {_ALNUM}) AS ws FROM {{doc
 ), hit AS (SELECT dw.doc_id, dw.i, dw.k, bw.item FROM dw JOIN bw USING (k, win)
 ), words AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS w FROM hit) GROUP BY doc_id
 ), items AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit WHERE item IS NOT NULL) GROUP BY doc_id
 )
 SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
