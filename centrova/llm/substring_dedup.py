@@ -5,15 +5,16 @@ with six.  A cut closer than ``MIN_CHUNK`` bytes to the hit before it is dropped
 own start.  Every rule looks at nearby bytes alone, so an insertion moves no cut beyond its neighbourhood.
 
 Of each digest the documents' smallest doc_id keeps the chunk, once; every other occurrence is a duplicate.  Runs of duplicates of
-at least ``min_run`` bytes are removed; shorter ones are common phrases and stay.  Digests have 64 bits; a false removal needs
-several neighbouring chunks to collide at once.
+at least ``min_run`` bytes are removed; shorter ones are common phrases and stay.  A chunk of ``WIDE`` bytes or more has two digests
+of 64 bits and is a duplicate only if both are; a run of shorter ones holds several digests.  So no single collision of 64 bits
+removes anything.
 
 A document emits each digest once.  Keepers come from minima taken before the shuffle, so a passage in a third of all documents
 is no burden to any task; the join back to documents can be split by Spark.  Nothing is broadcast or collected.
 
 Defined results: null text is empty and has no chunks; rows that share a doc_id count as one document and share its duplicates;
-null doc_ids are one document, which keeps a chunk only if no other has it; an empty table gives an empty result; further columns
-are carried along untouched by ``deduplicated`` and not read by ``removals``.
+rows without a doc_id are one document for each different text, and keep a chunk only if no document with a doc_id has it; an
+empty table gives an empty result; further columns are carried along untouched by ``deduplicated`` and not read by ``removals``.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 
 from centrova.llm import textbytes as tb
 
-WINDOW, MIN_CHUNK, MAX_CHUNK, MIN_RUN = 16, 8, 512, 100
+WINDOW, MIN_CHUNK, MAX_CHUNK, MIN_RUN, WIDE = 16, 8, 512, 100, 64
 GEAR = (tb.RAW2 >> np.uint64(13)).astype(np.uint32)
 _SPACE = ~tb.NOT_SPACE
 
@@ -79,38 +80,52 @@ def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, stop, np.searchsorted(offs, start, "right") - 1
 
 
-def digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    return tb.signed(tb.span_hash(tb.prefix(data, tb.RAW), start, stop))
+def digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The digest of every chunk; which chunks are wide; their second digests."""
+    wide = np.flatnonzero(stop - start >= WIDE)
+    one = tb.span_hash(tb.prefix(data, tb.RAW), start, stop)
+    two = tb.mix(tb.span_hash(tb.prefix(data, tb.RAW2), start[wide], stop[wide]) ^ np.uint64(0x2D)) if len(wide) else np.zeros(0, np.uint64)
+    return tb.signed(one), wide, tb.signed(two)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with __own: what names a row without a doc_id, by its text; null where there is a doc_id."""
+    return docs.withColumn("__own", F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string"))))
 
 
 def _emitted(docs: DataFrame) -> DataFrame:
-    """digest, doc_id: each digest of a document once."""
+    """digest, doc_id, own: each digest of a document once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in tb.slices(batch.column(1)):
+            for lo, hi, data, offs in tb.slices(batch.column(2)):
                 start, stop, row = chunks(data, offs)
-                d = digests(data, start, stop)
+                one, wide, two = digests(data, start, stop)
+                d, row = np.concatenate([one, two]), np.concatenate([row, row[wide]])
                 once = np.unique(tb.mix(d.view(np.uint64) ^ tb.mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
-                yield pa.RecordBatch.from_arrays([pa.array(d[once]), batch.column(0).slice(lo, hi - lo).take(pa.array(row[once]))], ["digest", "doc_id"])
+                rows = pa.array(row[once] + lo)
+                yield pa.RecordBatch.from_arrays([pa.array(d[once]), batch.column(0).take(rows), batch.column(1).take(rows)], ["digest", "doc_id", "own"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"digest long, doc_id {kind}")
+    return _named(docs).select("doc_id", "__own", F.col("text").cast("string").alias("text")).mapInArrow(run, f"digest long, doc_id {kind}, own long")
 
 
 def duplicate_chunks(docs: DataFrame) -> DataFrame:
-    """__doc, __digests: of each document the digests that another document keeps."""
+    """__doc, __no_doc, __digests: of each document the digests that another document keeps."""
     rows = _emitted(docs)
-    kept = rows.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("digest", "keeper")
-    dup = rows.join(kept, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return dup.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("digest").alias("__digests"))
+    kept = rows.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.min("own").alias("own_keeper"), F.count("*").alias("n")).filter("n > 1").select("digest", "keeper", "own_keeper")
+    keeps = F.col("doc_id").eqNullSafe(F.col("keeper")) & (F.col("doc_id").isNotNull() | (F.col("own") == F.col("own_keeper")))
+    dup = rows.join(kept, "digest").filter(~keeps)
+    return dup.groupBy(F.col("doc_id").alias("__doc"), F.col("own").alias("__no_doc")).agg(F.collect_set("digest").alias("__digests"))
 
 
 def _runs(data: np.ndarray, offs: np.ndarray, marked: list[np.ndarray | None], min_run: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Per row the removed [start, stop) pairs, relative to the row; and its number of chunks."""
     start, stop, row = chunks(data, offs)
-    d = digests(data, start, stop)
-    key = tb.mix(d.view(np.uint64) ^ tb.mix(row.astype(np.uint64) + np.uint64(1)))
+    d, wide, two = digests(data, start, stop)
+    both = d.copy()
+    both[wide] ^= two
+    key = tb.mix(both.view(np.uint64) ^ tb.mix(row.astype(np.uint64) + np.uint64(1)))
     dup = np.ones(len(d), bool)
     dup[np.unique(key, return_index=True)[1]] = False  # all but the first occurrence in the row
     first = np.searchsorted(row, np.arange(len(offs)))
@@ -118,7 +133,10 @@ def _runs(data: np.ndarray, offs: np.ndarray, marked: list[np.ndarray | None], m
     for r in range(len(offs) - 1):
         a, b = first[r], first[r + 1]
         if marked[r] is not None and len(marked[r]):
-            dup[a:b] |= np.isin(d[a:b], marked[r])
+            marks = np.isin(d[a:b], marked[r])
+            w = slice(*np.searchsorted(wide, [a, b]))
+            marks[wide[w] - a] &= np.isin(two[w], marked[r])
+            dup[a:b] |= marks
         own = dup[a:b]
         if not own.any():
             out.append(np.zeros((0, 2), np.int64))
@@ -144,7 +162,8 @@ def deduplicated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """The documents with duplicate runs cut from text, and __n_bytes, __n_chunks, __spans (flat starts and stops of what went)."""
     marks = duplicate_chunks(docs)
     cols = docs.columns
-    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select(*cols, "__digests")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("__own").eqNullSafe(F.col("__no_doc"))
+    joined = _named(docs).join(marks, same, "left").select(*cols, "__digests")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = cols.index("text")
