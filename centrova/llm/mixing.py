@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from centrova.llm.frames import saved
+
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 256
 PRIME = 2147483647
@@ -74,7 +76,8 @@ def mix(docs: DataFrame, *more: str, weights: tuple[int, ...] = (5, 2, 1), budge
     """doc_id, size, source_size, target, copies, taken (copies * size), then ``more`` columns of the documents, as a struct ``row``."""
     size = n_words(F.col("text"))
     cols = ["doc_id", F.col("source").cast("string").alias("source"), size.alias("size")]
-    sized = docs.select(*cols, F.struct(*[F.col(c) for c in more]).alias("row")) if more else docs.select(*cols)
+    # Words are counted once: sizes are saved, unless whole rows would have to be saved with them.
+    sized = docs.select(*cols, F.struct(*[F.col(c) for c in more]).alias("row")) if more else saved(docs.select(*cols))
     sized = sized.withColumn("class", size_class(F.col("size"))).withColumn("bucket", bucket(F.col("doc_id")))
     cells = sized.groupBy("source", "class", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     targets = source_targets(cells, weights, budget, cap, seed)
@@ -97,8 +100,8 @@ def mixed_words(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document of the table with its number of copies, copies above 0 only."""
-    m = mix(docs, *docs.columns).filter("copies > 0")
+    """The mix itself: every document of the table with its number of copies, copies above 0 only; earlier mix_ columns give way."""
+    m = mix(docs, *[c for c in docs.columns if c.lower() not in ("mix_copies", "mix_size", "mix_target")]).filter("copies > 0")
     return m.select("row.*", F.col("copies").alias("mix_copies"), F.col("size").alias("mix_size"), F.col("target").alias("mix_target"))
 
 
