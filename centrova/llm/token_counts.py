@@ -1,15 +1,17 @@
 """Token counts: batch encoding inside Arrow functions that give back lengths only.
 
-The tokenizer drops white space and ends every pre-token at it, so a text may be cut at any ASCII space, tab or newline without a
-change of its tokens: a text's count is the sum over its chunks.  Equal chunks recur throughout a corpus, so each worker encodes
-a chunk once, in batches bounded by bytes, and keeps its length; only lengths leave the worker.
+What may be counted apart is read off the tokenizer's file.  Where its rules drop white space and end every pre-token at it, a text
+is cut at any ASCII space, tab or newline without a change of its tokens: its count is the sum over its chunks.  Equal chunks recur
+throughout a corpus, so each worker encodes a chunk once, in batches bounded by bytes, and keeps its length.  Under any other
+tokenizer whole texts are encoded, in the same batches.  Only lengths leave the worker.
 
 Defined results: null or empty text has no bytes and no tokens; repeated rows each give a row; null doc_id stays null; other
-columns are not read.
+columns are not read; a text without white space is one chunk, however long.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -20,9 +22,15 @@ from pyspark.sql import functions as F
 
 from centrova.llm.frames import texts
 
-#: Bytes handed to the encoder at once, and chunk lengths kept per worker.
+#: Bytes handed to the encoder at once, and bytes of chunks whose lengths a worker keeps.
 BATCH_BYTES = 1 << 20
-KEPT_CHUNKS = 1_500_000
+KEPT_BYTES = 48 << 20
+
+#: The normalizer and pre-tokenizer under which chunks between white space are counted apart.
+SPACE_DROPPING = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+)
 
 _SPACE = re.compile(r"[ \t\n\r]+")
 _WORD_AND_STOP = re.compile(r"([^\W\d_]+)([.,;:!?])")
@@ -33,31 +41,61 @@ def _only_letters(head: str) -> bool:
     return head.isascii() or unicodedata.normalize("NFC", head).lower().isalpha()
 
 
+def drops_space(path: str) -> bool:
+    """Whether chunks between white space may be counted apart: known rules, no special string that holds white space, nothing around a text."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    pre = t.get("pre_tokenizer") or {}
+    plain = all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] and not _SPACE.search(x["content"]) and not _WORD_AND_STOP.fullmatch(x["content"]) for x in t.get("added_tokens", []))
+    return (t.get("normalizer"), pre.get("pretokenizers")) == SPACE_DROPPING and not t.get("post_processor") and plain
+
+
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8"))
+
+
 class ChunkCounter:
-    """Lengths of chunks without white space under one tokenizer."""
+    """Lengths of texts under one tokenizer; of chunks between white space where its rules allow that, else of whole texts."""
 
     def __init__(self, path: str):
-        if path.endswith(".json"):
+        if path.endswith(".model"):
+            import sentencepiece
+
+            piece = sentencepiece.SentencePieceProcessor(model_file=path)
+            self._encode = lambda chunks: [len(x) for x in piece.encode(chunks, num_threads=1)]
+        else:
             from tokenizers import Tokenizer
 
             tok = Tokenizer.from_file(path)
             tok.no_truncation()
             tok.no_padding()
             self._encode = lambda chunks: [len(e.ids) for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
-        else:
-            raise ValueError(f"chunks can be counted apart only for a tokenizer that drops white space, not for {path}")
+        self.by_chunk, self._kept_bytes = drops_space(path), 0
         self._kept: dict[str, int] = {"": 0}
         self._stop = {s: n for s, n in zip(".,;:!?", self._encode(list(".,;:!?")), strict=True)}
 
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """What of a text is counted apart, in lists of about BATCH_BYTES characters at most where it may be cut."""
+        if not self.by_chunk:
+            yield [text]
+            return
+        for part in safe_parts(text):
+            yield _SPACE.split(part) if "\r" in part else part.replace("\n", " ").replace("\t", " ").split(" ")
+
     def lengths(self, batch: list[list[str]]) -> list[int]:
         """The number of tokens of each list of chunks."""
+        if not self.by_chunk:
+            return [n for chunks in batch for n in self._encode(chunks)]
         kept = self._kept
-        if len(kept) > KEPT_CHUNKS:
+        if self._kept_bytes > KEPT_BYTES:
             kept.clear()
-            kept[""] = 0
+            kept[""] = self._kept_bytes = 0
         missing = {c for chunks in batch for c in chunks if c not in kept}
         if missing:
             self._learn(missing)
+            self._kept_bytes += sum(map(len, missing))
         return [sum(map(kept.__getitem__, chunks)) for chunks in batch]
 
     def _learn(self, chunks: set[str]) -> None:
@@ -75,7 +113,7 @@ class ChunkCounter:
         todo, size = [], 0
         for h in sorted(heads, key=len):
             todo.append(h)
-            size += len(h)
+            size += n_bytes(h)
             if size >= BATCH_BYTES:
                 kept.update(zip(todo, self._encode(todo), strict=True))
                 todo, size = [], 0
@@ -128,11 +166,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit_tokens: int = 2048)
 
             for row, value in enumerate(b.column(1)):
                 text = value.as_py() or ""
-                size.append(len(text.encode("utf-8")))
-                for part in safe_parts(text):
-                    group.append(_SPACE.split(part) if "\r" in part else part.replace("\n", " ").replace("\t", " ").split(" "))
+                size.append(n_bytes(text))
+                room = size[-1] / max(1, len(text))  # bytes a character
+                for chunks in count.parts(text):
+                    group.append(chunks)
                     owner.append(row)
-                    held += len(part)
+                    held += int(min(len(text), BATCH_BYTES) * room)
                     if held >= BATCH_BYTES:
                         flush()
                         held = 0
