@@ -139,6 +139,56 @@ def test_token_counts_of_odd_texts():
     assert token_counts.ChunkCounter(path).lengths([split(x) for x in texts]) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_token_counts_under_other_rules(spark, rows, name):
+    """White space belongs to the tokens of these, so whole texts are encoded."""
+    path = tokenizer_path(name)
+    if name.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        length = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    else:
+        import sentencepiece
+
+        piece = sentencepiece.SentencePieceProcessor(model_file=path)
+        length = lambda x: len(piece.encode(x))
+    table = [(d, t) for d, t, _ in rows if not t or len(t) < 6000] + [(9, "a  b\n\n c <|endoftext|> d"), (10, " x")]
+    got = token_counts.count_tokens(spark.createDataFrame(table, "doc_id long, text string"), path).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == sorted((d, length(t or "")) for d, t in table)
+
+
+def test_token_counts_in_small_batches(docs, monkeypatch):
+    count = token_counts.ChunkCounter(tokenizer_path())
+    texts = [r["text"] or "" for r in docs.collect()]
+    whole = [sum(count.lengths(list(count.parts(t)))) for t in texts]
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 500)
+    monkeypatch.setattr(token_counts, "KEPT_BYTES", 2000)
+    assert [sum(count.lengths([c])[0] for c in count.parts(t)) for t in texts] == whole
+
+
+def test_substring_dedup_of_rows_without_ids(spark, prose):
+    t, u = prose(11, 150), prose(12, 150)
+    df = spark.createDataFrame([(None, t), (None, t + " and more"), (None, u), (7, "first " + u)], "doc_id long, text string")
+    got = {r["text"][:20]: r["text"] for r in substring_dedup.deduplicated(df).collect()}
+    kept = [x for x in got.values() if t[40:400] in x]
+    assert len(kept) == 1  # of two texts without an id one keeps what they share
+    assert sum(u[40:400] in x for x in got.values()) == 1
+    assert "first " + u in got.values()
+
+
+def test_lookups_of_two_key_sets_with_the_same_ends():
+    one, two = np.array([1, 5, 1 << 60], np.uint64), np.array([1, 9 << 50, 1 << 60], np.uint64)
+    assert decontaminate._Lookup(one).find(np.array([5, 9 << 50], np.uint64)).tolist() == [1, -1]
+    assert decontaminate._Lookup(two).find(np.array([5, 9 << 50], np.uint64)).tolist() == [-1, 1]
+
+
+def test_mixture_of_a_mixture(docs):
+    again = mixing.mixed_documents(mixing.mixed_documents(docs))
+    assert again.columns == [*docs.columns, "mix_copies", "mix_size", "mix_target"]
+    assert again.count() > 0
+
+
 def test_quality_rules(docs, duck, same, monkeypatch):
     rules = quality_rules.QualityRules()
     same(quality_rules.verdicts(with_clashes(docs), rules), duck.sql(sql.quality_rules()))
@@ -214,7 +264,7 @@ def test_components_joined_by_later_links(spark):
 
     pairs = lambda rows: spark.createDataFrame(rows, "a long, b long")
     labels = components(pairs([(1, 2), (2, 3), (10, 11)]))
-    got = {r["node"]: r["component"] for r in joined(labels, pairs([(3, 11), (20, 21), (1, 3)])).collect()}
+    got = {r["node"]: r["component"] for r in joined(labels, pairs([(3, 11), (20, 21), (1, 3)])).frame.collect()}
     assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20}
 
 
