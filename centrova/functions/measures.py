@@ -200,7 +200,7 @@ _ALL = [
 ]
 MEASURES = {m.name: m for m in _ALL}
 _BY_NUMBER = {m.number: m for m in _ALL if m.number is not None}
-_ALIASES = {"SIS": "SYMMETRIC_ITAKURA_SAITO", "RSIS": "RSYMMETRIC_ITAKURA_SAITO", "PROBCOS": "PROBABILITY_COSINE_DISTANCE"}
+_ALIASES = {"SIS": "SYMMETRIC_ITAKURA_SAITO", "RSIS": "RSYMMETRIC_ITAKURA_SAITO", "PROBCOS": "PROBABILITY_COSINE_DISTANCE", "MATUSITA": "HELLINGER"}
 
 Spec = "str | int | Measure | Callable[[Column, Column], Column]"
 
@@ -220,6 +220,25 @@ def measure(which) -> Measure:
     return MEASURES[name]
 
 
+def minkowski(p: float) -> Measure:
+    """The p-norm of the difference."""
+    return _plain(f"L{p:g}", None, f"{p:g}-norm of the difference", lambda x, y: F.pow(_power(p)(x, y), F.lit(1 / p)), lambda x, y: _np_power(p)(x, y) ** (1 / p))
+
+
+def hellinger(scale: float) -> Measure:
+    """The Hellinger distance times a scale; 1 / sqrt(2) bounds it by 1."""
+    h = MEASURES["HELLINGER"]
+    return Measure("SCALED_HELLINGER", None, "scaled Hellinger distance", lambda p, q, sx, sy: h.column(p, q, sx, sy) * scale, lambda p, q, sx, sy: h.block(p, q, sx, sy) * scale, True)
+
+
+def _np_poisson(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (_np_xlogxy(x, np.broadcast_to(c, x.shape)) - x + c).sum(axis=1)
+
+
+#: Not in the registry of numbers: the divergence of Poisson rates, sum of x ln(x / y) - x + y.
+POISSON = _plain("POISSON", None, "Bregman divergence of Poisson rates", lambda x, y: _sum(x, y, lambda a, b: _xlogxy(a, b) - a + b), _each(_np_poisson), symmetric=False)
+
+
 def registry(spark: SparkSession) -> DataFrame:
     """name, number, text of all measures."""
     return spark.createDataFrame([(m.name, m.number, m.text) for m in _ALL], "name string, number int, text string")

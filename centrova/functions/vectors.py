@@ -58,6 +58,32 @@ def merge_cases(x_idx: Column, x_val: Column, y_idx: Column, y_val: Column, both
     return F.transform(F.array_sort(F.map_entries(m)), lambda e: e["value"])
 
 
+def sparse_dot(x_idx: Column, x_val: Column, y_idx: Column, y_val: Column) -> Column:
+    return total(merge_cases(x_idx, x_val, y_idx, y_val, lambda a, b: a * b, lambda a: F.lit(0.0), lambda b: F.lit(0.0)))
+
+
+def sparse_l1(x_idx: Column, x_val: Column, y_idx: Column, y_val: Column) -> Column:
+    return total(merge_cases(x_idx, x_val, y_idx, y_val, lambda a, b: F.abs(a - b), F.abs, F.abs))
+
+
+def sparse_l2(x_idx: Column, x_val: Column, y_idx: Column, y_val: Column) -> Column:
+    return F.sqrt(total(merge_cases(x_idx, x_val, y_idx, y_val, lambda a, b: (a - b) * (a - b), lambda a: a * a, lambda b: b * b)))
+
+
+def on_l1_ball(x: Column, radius: float | Column = 1.0) -> Column:
+    """The nearest array whose absolute values sum to at most radius: all shrink by one threshold, to no less than 0."""
+    r = F.lit(float(radius)) if isinstance(radius, (int, float)) else radius
+    sizes = F.reverse(F.array_sort(F.transform(x, F.abs)))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(0.0).alias("t"))
+
+    def step(a: Column, v: Column) -> Column:
+        s, n = a["s"] + v, a["n"] + 1
+        return F.struct(s.alias("s"), n.alias("n"), F.greatest(a["t"], (s - r) / n).alias("t"))
+
+    threshold = F.aggregate(sizes, start, step, lambda a: a["t"])
+    return F.transform(x, lambda v: F.signum(v) * F.greatest(F.abs(v) - threshold, F.lit(0.0)))
+
+
 def shared_zeros(x_idx: Column, y_idx: Column, dim: Column) -> Column:
     """How many positions are zero in both rows."""
     return dim - F.size(F.array_union(x_idx, y_idx))

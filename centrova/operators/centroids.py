@@ -41,16 +41,21 @@ def sums(members: DataFrame, k: int, shares: bool = False) -> tuple[np.ndarray,
             used = np.flatnonzero(w_acc)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(w_acc[used]), pa.array(list(acc[used]), pa.list_(pa.float64()))], ["cid", "w", "s"])
 
-    parts = own.mapInArrow(run, "cid int, w double, s array<double>")
-    added = parts.select("cid", "w", F.posexplode("s").alias("f", "v")).groupBy("cid", "f").agg(F.sum("v").alias("v"), F.sum("w").alias("w"))
-    rows = added.groupBy("cid").agg(F.max("w").alias("w"), F.sort_array(F.collect_list(F.struct("f", "v"))).alias("e")).collect()  # k rows
-    d = max((len(r["e"]) for r in rows), default=0)
+    found = added(own.mapInArrow(run, "cid int, w double, s array<double>"))
+    d = max((len(v) for _, v in found.values()), default=0)
     s, w = np.zeros((k, d)), np.zeros(k)
-    for r in rows:
-        s[r["cid"]], w[r["cid"]] = [e["v"] for e in r["e"]], r["w"]
+    for cid, (own_w, own_s) in found.items():
+        s[cid], w[cid] = own_s, own_w
     return s, w
 
 
+def added(parts: DataFrame) -> dict[int, tuple[float, np.ndarray]]:
+    """{cid: (weight, sums)} of partial rows (cid, w, s): added up by place before k rows come to the driver."""
+    one = parts.select("cid", "w", F.posexplode("s").alias("f", "v")).groupBy("cid", "f").agg(F.sum("v").alias("v"), F.sum("w").alias("w"))
+    rows = one.groupBy("cid").agg(F.max("w").alias("w"), F.sort_array(F.collect_list(F.struct("f", "v"))).alias("e")).collect()
+    return {r["cid"]: (r["w"], np.array([e["v"] for e in r["e"]])) for r in rows}
+
+
 def means(members: DataFrame, k: int, shares: bool = False) -> np.ndarray:
     """(k, d) weighted means; rows of NaN for empty clusters."""
     s, w = sums(members, k, shares)
@@ -100,15 +105,15 @@ def geometric_medians(members: DataFrame, start: np.ndarray, eps: float = 1e-6,
                 v = w / np.maximum(dist, floor)
                 np.add.at(acc, c, x * v[:, None])
                 w_acc += np.bincount(c, v, minlength=k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(w_acc), pa.array(cost), pa.array(list(acc), pa.list_(pa.float64()))], ["cid", "w", "cost", "s"])
+            # the cost is one more place of the sums
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(w_acc), pa.array([[*r, c] for r, c in zip(acc, cost, strict=True)], pa.list_(pa.float64()))], ["cid", "w", "s"])
 
-        parts = members.select("cid", "weight", "features").mapInArrow(run, "cid int, w double, cost double, s array<double>")
-        added = parts.groupBy("cid").agg(F.sum("w").alias("w"), F.sum("cost").alias("cost"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(centers.shape[1])]).collect()
+        found = added(members.select("cid", "weight", "features").mapInArrow(run, "cid int, w double, s array<double>"))
         cost, new = 0.0, centers.copy()
-        for r in added:
-            cost += r["cost"]
-            if r["w"] > 0:
-                new[r["cid"]] = [r[f"s{i}"] / r["w"] for i in range(centers.shape[1])]
+        for cid, (w, s) in sorted(found.items()):
+            cost += s[-1]
+            if w > 0:
+                new[cid] = s[:-1] / w
         if before - cost <= eps * max(cost, 1e-300) and before < np.inf:
             break
         centers, before = new, cost

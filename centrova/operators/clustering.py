@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from centrova.functions.draws import race, uniform
 from centrova.functions.measures import block_distance, distribution, measure
-from centrova.operators.centroids import update
+from centrova.operators.centroids import added, update
 from centrova.operators.pairwise import assign, matrix_of
 from centrova.operators.seeding import best_of, kmeanspp, local_search_swaps, total_cost
 from centrova.options import ClusterOptions
@@ -116,7 +116,7 @@ def responsibilities(points: DataFrame, centers: np.ndarray, which="SQRL2", prio
 
 
 def soft(points: DataFrame, centers: np.ndarray, which="SQRL2", prior: float = 0.0, temperature: float = 1.0, eps: float = 1e-4, max_iterations: int = 50) -> Clustering:
-    """Soft clusters: centers are responsibility-weighted means (of distributions, for measures on them)."""
+    """Soft clusters: centers are responsibility-weighted means (of distributions, for measures on them), or medians for L1 and TVD."""
     m = measure(which)
     at = np.asarray(centers, float)
     soft_cost = F.aggregate(F.zip_with("costs", "resp", lambda c, r: F.when(r > 0, c * r).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, v: a + v)
@@ -128,6 +128,17 @@ def soft(points: DataFrame, centers: np.ndarray, which="SQRL2", prior: float = 0
     df, cost = step(at)
     costs = [cost]
     for _ in range(max_iterations):
+        if m.centroid in ("l1_median", "tvd_median"):
+            new = soft_medians(df, len(at), shares=m.centroid == "tvd_median")
+            new = np.where(np.isnan(new), at, new)
+            again, cost = step(new)
+            if cost > costs[-1]:
+                break
+            at, df = new, again
+            costs.append(cost)
+            if costs[-2] - cost < eps * max(costs[-2], cost):
+                break
+            continue
         x = df.withColumn("features", distribution(F.col("features"))) if m.probability else df
         k = len(at)
 
@@ -144,11 +155,7 @@ def soft(points: DataFrame, centers: np.ndarray, which="SQRL2", prior: float = 0
 
         parts = x.select("features", "weight", "resp").mapInArrow(run, "cid int, w double, s array<double>")
         new = at.copy()
-        acc: dict[int, tuple[float, np.ndarray]] = {}
-        for r in parts.toLocalIterator():  # k rows per task
-            w, s = acc.get(r["cid"], (0.0, 0.0))
-            acc[r["cid"]] = w + r["w"], s + np.array(r["s"])
-        for cid, (w, s) in acc.items():
+        for cid, (w, s) in added(parts).items():
             if w > 0:
                 new[cid] = s / w
         again, cost = step(new)
@@ -161,10 +168,21 @@ def soft(points: DataFrame, centers: np.ndarray, which="SQRL2", prior: float = 0
     return Clustering(at, df, costs)
 
 
-def minibatch(points: DataFrame, centers: np.ndarray, batch: int, rounds: int = 20, check_every: int = 5, which="SQRL2", prior: float = 0.0, seed: int = 0, running_mean: bool = True) -> Clustering:
+def soft_medians(df: DataFrame, k: int, shares: bool = False) -> np.ndarray:
+    """(k, d) weighted medians by coordinate of points with responsibilities: row weights are weight * resp of the cluster."""
+    from centrova.operators.centroids import weighted_median_frame
+
+    own = df.select("id", "features", F.posexplode(F.transform("resp", lambda r: r * F.col("weight"))).alias("cid", "weight")).filter("weight > 0")
+    found = {r["cid"]: r["features"] for r in weighted_median_frame(own, shares).collect()}  # k rows
+    d = len(next(iter(found.values()))) if found else 0
+    return np.array([found.get(i, [np.nan] * d) for i in range(k)], float)
+
+
+def minibatch(points: DataFrame, centers: np.ndarray, batch: int, rounds: int = 20, check_every: int = 5, which="SQRL2", prior: float = 0.0, seed: int = 0, running_mean: bool = True, reseed_after: int | None = None) -> Clustering:
     """Recenter by seeded batches, check in against all points every few rounds, keep the best centers seen.
 
     running_mean: a batch moves a center by its share of the points that the center has seen; else centers become the batch's own.
+    reseed_after: at a check-in, centers with at most so many points give way to rows drawn in proportion to cost.
     """
     at = np.asarray(centers, float)
     seen = np.zeros(len(at))
@@ -173,12 +191,22 @@ def minibatch(points: DataFrame, centers: np.ndarray, batch: int, rounds: int =
     n = points.count()
     for r in range(rounds + 1):
         if r % check_every == 0 or r == rounds:
-            cost = total_cost(assign(points, at, which, prior))
+            here = saved(assign(points, at, which, prior)) if reseed_after is not None else assign(points, at, which, prior)
+            cost = total_cost(here)
             costs.append(cost)
             if cost < best_cost:
                 best, best_cost = at.copy(), cost
             if r == rounds:
                 break
+            if reseed_after is not None:
+                filled = {x["cid"]: x["n"] for x in here.groupBy("cid").agg(F.count("*").alias("n")).collect()}  # k rows
+                few = [i for i in range(len(at)) if filled.get(i, 0) <= reseed_after]
+                if few and len(few) < len(at):
+                    holes = at.copy()
+                    holes[few] = np.nan
+                    refilled, _ = _refill(points, holes, which, prior, 5000 + r, seed)
+                    if len(refilled) == len(at):
+                        at, seen = refilled, np.where(np.isin(np.arange(len(at)), few), 0.0, seen)
         part = points.filter(uniform(F.col("id"), r, seed) < F.lit(min(1.0, batch / max(n, 1))))
         own = assign(part, at, which, prior)
         if measure(which).centroid == "mean":

@@ -70,26 +70,70 @@ def distance_rows(edges: DataFrame, sources: DataFrame, only_sources: bool = Fal
     return d.join(sources.select(F.col("id").alias("client")), "client", "left_semi").select("facility", "client", "dist") if only_sources else d
 
 
-def thorup_graph(vertices: DataFrame, edges: DataFrame, k: int, seed: int = 0, eps: float = 0.5, rounds: int | None = None) -> DataFrame:
-    """id of sampled centers: batches of vertices, then those no farther than a random pivot are dropped."""
+def thorup_graph(vertices: DataFrame, edges: DataFrame, k: int, seed: int = 0, eps: float = 0.5, rounds: int | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """id of sampled centers: batches of vertices, then those no farther than a random pivot are dropped.
+
+    weights (id, weight): vertices are drawn in proportion to them, and W is their sum; else each counts once.
+    """
     import math
 
     from centrova.operators.seeding import _draw
 
-    n = max(vertices.count(), 2)
+    own = vertices.select("id") if weights is None else vertices.select("id").join(weights, "id")
+    left = saved(own.withColumn("weight", F.lit(1.0)) if weights is None else own.select("id", "weight"))
+    n = max(left.agg(F.sum("weight").alias("w")).first()["w"] or 0.0, 2.0)
     batch = max(1, math.ceil(21 * k * math.log(n) / eps))
     rounds = math.ceil(3 * math.log(n)) if rounds is None else rounds
-    spark, left, ids = vertices.sparkSession, saved(vertices.select("id")), []
+    spark, ids = vertices.sparkSession, []
     for r in range(rounds):
         if left.limit(batch + 1).count() <= batch:
-            ids += [x["id"] for x in left.collect()]
+            ids += [x["id"] for x in left.select("id").collect()]  # at most a batch
             break
-        ids += _draw(left, F.lit(1.0), batch, r, seed)
+        ids += _draw(left, F.col("weight"), batch, r, seed)
         chosen = spark.createDataFrame([(int(i),) for i in dict.fromkeys(ids)], "id long")
         dist = saved(left.join(shortest_paths(edges, chosen).select("id", "dist"), "id", "left").fillna(float("inf"), ["dist"]))
-        pivot = _draw(dist, F.lit(1.0), 1, 7000 + r, seed)[0]
+        pivot = _draw(dist, F.col("weight"), 1, 7000 + r, seed)[0]
         at = dist.filter(F.col("id") == pivot).first()["dist"]
-        left = saved(dist.filter(F.col("dist") > at).select("id"))
+        left = saved(dist.filter(F.col("dist") > at).select("id", "weight"))
         if left.limit(1).count() == 0:
             break
     return spark.createDataFrame([(int(i),) for i in dict.fromkeys(ids)], "id long")
+
+
+def thorup_union(vertices: DataFrame, edges: DataFrame, k: int, times: int, seed: int = 0, **more) -> DataFrame:
+    """id of the centers of any of several samples."""
+    out = thorup_graph(vertices, edges, k, seed, **more)
+    for t in range(1, times):
+        out = out.union(thorup_graph(vertices, edges, k, seed + 101 * t, **more))
+    return out.distinct()
+
+
+def total_distance(vertices: DataFrame, edges: DataFrame, centers: DataFrame, weights: DataFrame | None = None) -> float:
+    """The summed (weighted) distance of all vertices to their nearest center; infinite if one cannot be reached."""
+    near = vertices.select("id").join(shortest_paths(edges, centers).select("id", "dist"), "id", "left").fillna(float("inf"), ["dist"])
+    w = near.withColumn("weight", F.lit(1.0)) if weights is None else near.join(weights, "id")
+    return w.agg(F.sum(F.col("weight") * F.col("dist")).alias("c")).first()["c"] or 0.0
+
+
+def thorup_cheapest(vertices: DataFrame, edges: DataFrame, k: int, tries: int, seed: int = 0, **more) -> tuple[DataFrame, float]:
+    """(centers, cost) of the sample that leaves the least summed distance."""
+    found = [thorup_graph(vertices, edges, k, seed + 101 * t, **more) for t in range(max(1, tries))]
+    costs = [total_distance(vertices, edges, c, more.get("weights")) for c in found]
+    best = min(range(len(found)), key=costs.__getitem__)
+    return found[best], costs[best]
+
+
+def thorup_iterated(vertices: DataFrame, edges: DataFrame, k: int, iterations: int = 2, tries: int = 1, seed: int = 0, **more) -> DataFrame:
+    """id, weight: samples of the sample, each center weighed by the vertices that it stands for, while the sample shrinks."""
+    weights, at = None, vertices.select("id")
+    size = at.count()
+    for it in range(iterations):
+        centers, _ = thorup_cheapest(at, edges, k, tries, seed + 1009 * it, weights=weights, **more)
+        n = centers.count()
+        if it and n >= size:
+            break
+        near = shortest_paths(edges, centers).join(at if weights is None else weights, "id")
+        w = F.lit(1.0) if weights is None else F.col("weight")
+        weights, size = saved(near.groupBy(F.col("source").alias("id")).agg(F.sum(w).alias("weight"))), n
+        at = weights.select("id")
+    return weights

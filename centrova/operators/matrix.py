@@ -67,7 +67,10 @@ def erase_empty(long: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def concat(parts: list[DataFrame]) -> DataFrame:
-    """Long forms one below the other: part number, then id within it, as (part, id, feature, value)."""
+    """Long forms one below the other: part number, then id within it, as (part, id, feature, value); an error if read matrices differ in columns."""
+    widths = {p.schema["value"].metadata["columns"] for p in parts if "columns" in p.schema["value"].metadata}
+    if len(widths) > 1:
+        raise ValueError(f"matrices of {sorted(widths)} columns cannot stand one below the other")
     out = None
     for i, p in enumerate(parts):
         own = p.select(F.lit(i).alias("part"), "id", "feature", "value")

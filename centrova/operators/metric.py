@@ -173,8 +173,84 @@ def solve(distances: DataFrame, k: int, method: str = "local_search", **more) ->
     return MetricSolution([int(fac[i]) for i in chosen], cost)
 
 
-def kz_clustering(vertices: DataFrame, edges: DataFrame, k: int, z: float = 1.0, coreset_size: int = 100, seed: int = 0) -> dict:
-    """The chain for graphs: sampled facilities, their distances, powers, local search, costs of all vertices, a coreset."""
+def thorup_matrix(distances: DataFrame, k: int, seed: int = 0, eps: float = 0.5, rounds: int | None = None) -> DataFrame:
+    """facility: a sample with pruning over a distance table (facility, client, dist) whose facilities are clients too."""
+    import math
+
+    from centrova.operators.seeding import _draw
+    from centrova.plans.iterate import saved
+
+    spark = distances.sparkSession
+    left = saved(distances.select(F.col("client").alias("id")).distinct())
+    n = max(left.count(), 2)
+    batch = max(1, math.ceil(21 * k * math.log(n) / eps))
+    ids: list[int] = []
+    for r in range(math.ceil(3 * math.log(n)) if rounds is None else rounds):
+        if left.limit(batch + 1).count() <= batch:
+            ids += [x["id"] for x in left.collect()]  # at most a batch
+            break
+        ids += _draw(left, F.lit(1.0), batch, r, seed)
+        chosen = spark.createDataFrame([(int(i),) for i in dict.fromkeys(ids)], "facility long")
+        near = distances.join(F.broadcast(chosen), "facility").groupBy(F.col("client").alias("id")).agg(F.min("dist").alias("cost"))
+        costed = saved(left.join(near, "id"))
+        pivot = _draw(costed, F.lit(1.0), 1, 5000 + r, seed)[0]
+        left = saved(costed.filter(F.col("cost") > costed.filter(F.col("id") == pivot).first()["cost"]).select("id"))
+        if left.limit(1).count() == 0:
+            break
+    return spark.createDataFrame([(int(i),) for i in dict.fromkeys(ids)], "facility long")
+
+
+def primal_dual_on_graph(edges: DataFrame, candidates: DataFrame, k: int) -> MetricSolution:
+    """k of the candidate vertices (id) by the primal-dual search over their distances in the graph."""
+    from centrova.operators.graph import distance_rows
+
+    return solve(distance_rows(edges, candidates), k, "primal_dual")
+
+
+def restricted_search(distances: DataFrame, core: DataFrame, k: int, facilities: DataFrame | None = None, method: str = "local_search", **more) -> tuple[MetricSolution, float]:
+    """(solution on the weighted clients of a coreset (id, weight), its cost over all clients); facilities (facility): only among these."""
+    from centrova.operators.matrix import client_weighted
+
+    own = distances if facilities is None else distances.join(facilities, "facility", "left_semi")
+    few = client_weighted(own, core.select(F.col("id").alias("client"), "weight"))
+    s = solve(few, k, method, **more)
+    chosen = distances.sparkSession.createDataFrame([(i,) for i in s.facilities], "facility long")
+    near = distances.join(F.broadcast(chosen), "facility").groupBy("client").agg(F.min("dist").alias("d"))
+    return s, near.agg(F.sum("d").alias("c")).first()["c"] or 0.0
+
+
+def distortion_table(distances: DataFrame, probs: DataFrame, sizes: list[int], sets: int, k: int, seed: int = 0, repeats: int = 1) -> DataFrame:
+    """size, repeat, mean, most: how far a coreset's cost is from that of all clients, over random sets of k facilities.
+
+    The sets are drawn once; their costs over all clients are one pass, and a coreset only adds its weights to these.
+    """
+    from centrova.functions.draws import uniform
+    from centrova.operators.coreset import sample
+    from centrova.plans.iterate import saved
+
+    spark = distances.sparkSession
+    facilities = distances.select("facility").distinct()
+    drawn = spark.range(sets).withColumnRenamed("id", "set").crossJoin(facilities)
+    u = uniform(F.col("facility") * 1_000_003 + F.col("set"), 31, seed)
+    drawn = drawn.groupBy("set").agg(F.slice(F.sort_array(F.collect_list(F.struct(u.alias("u"), "facility"))), 1, k).alias("f")).select("set", F.explode("f.facility").alias("facility"))
+    near = saved(distances.join(drawn, "facility").groupBy("set", "client").agg(F.min("dist").alias("d")))
+    full = near.groupBy("set").agg(F.sum("d").alias("full"))
+    out = None
+    for i, size in enumerate(sizes):
+        for r in range(repeats):
+            core = sample(probs, size, seed + 97 * i + 13 * r).select(F.col("id").alias("client"), "weight")
+            est = near.join(core, "client").groupBy("set").agg(F.sum(F.col("d") * F.col("weight")).alias("est"))
+            off = full.join(est, "set", "left").select(F.abs(F.coalesce("est", F.lit(0.0)) / F.col("full") - 1).alias("x"))
+            row = off.agg(F.lit(size).alias("size"), F.lit(r).alias("repeat"), F.avg("x").alias("mean"), F.max("x").alias("most"))
+            out = row if out is None else out.union(row)
+    return out
+
+
+def kz_clustering(vertices: DataFrame, edges: DataFrame, k: int, z: float = 1.0, coreset_size: int = 100, seed: int = 0, sizes: tuple[int, ...] = (), sets: int = 20, repeats: int = 1) -> dict:
+    """The chain for graphs: sampled facilities, their distances, powers, local search, costs of all vertices, a coreset.
+
+    sizes: also a table of distortions of coresets of these sizes, and the cost that a search on each of them reaches.
+    """
     from centrova.operators.coreset import sample, sensitivities
     from centrova.operators.graph import distance_rows, shortest_paths, thorup_graph
     from centrova.operators.matrix import powered
@@ -187,4 +263,8 @@ def kz_clustering(vertices: DataFrame, edges: DataFrame, k: int, z: float = 1.0,
     near = shortest_paths(edges, centers)
     costed = saved(near.select("id", F.col("source").alias("cid"), F.pow("dist", F.lit(float(z))).alias("cost"), F.lit(1.0).alias("weight")))
     probs = saved(sensitivities(costed, "BFL"))
-    return {"solution": found, "costs": costed, "probabilities": probs, "coreset": sample(probs, coreset_size, seed)}
+    out = {"solution": found, "costs": costed, "probabilities": probs, "coreset": sample(probs, coreset_size, seed)}
+    if sizes:
+        out["distortion"] = distortion_table(d, probs, list(sizes), sets, k, seed, repeats)
+        out["restricted"] = {m: restricted_search(d, sample(probs, m, seed), k)[1] for m in sizes}
+    return out

@@ -25,8 +25,8 @@ def matrix_of(column: pa.Array) -> np.ndarray:
 def compare(matrix: DataFrame, data: DataFrame, which="SQRL2", prior: float = 0.0, reverse: bool = False) -> DataFrame:
     """i, j, dist of every row i of matrix and j of data: measure(data_j, matrix_i), or the other way round if reverse.
 
-    data is cut in blocks of bounded size, and each goes to every task over matrix; the result has as many rows as pairs, so this is
-    for a large side against a stated small one.
+    The result has as many rows as pairs, so this is for a large side against a stated small one.  A side of up to ``BLOCK_ROWS`` rows
+    goes to every task over the other; above that both sides are cut in blocks, and a pair of blocks meets in one tile.
     """
     m = measure(which)
     side = data.select(F.col("id").alias("j"), F.col("features").alias("y"))
@@ -34,45 +34,77 @@ def compare(matrix: DataFrame, data: DataFrame, which="SQRL2", prior: float = 0.
     left = matrix.select(F.col("id").alias("i"), F.col("features").alias("x"))
     if m.block is None:
         return left.join(side).select("i", "j", distance(m, x, y, prior).alias("dist"))
+    if data.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS:
+        return _against_few(matrix, data, m, prior, reverse, False)
+    tiles = blocks_of(matrix, "l").join(blocks_of(data, "r"))
+    return tiles.mapInArrow(_tile(m, prior, reverse, False), "i long, j long, dist double")
+
+
+def blocks_of(df: DataFrame, name: str) -> DataFrame:
+    """A row per block of about ``BLOCK_ROWS`` rows: its number, ids and features, under names that begin with ``name``."""
+    n = -(-df.count() // BLOCK_ROWS)
+    block = F.pmod(F.xxhash64("id"), F.lit(max(n, 1))).alias(f"{name}b")
+    both = F.sort_array(F.collect_list(F.struct("id", "features"))).alias("rows")
+    return df.groupBy(block).agg(both).select(f"{name}b", F.col("rows.id").alias(f"{name}ids"), F.col("rows.features").alias(f"{name}rows"))
+
+
+def _against_few(matrix: DataFrame, data: DataFrame, m, prior: float, reverse: bool, upper: bool) -> DataFrame:
+    """``compare`` with a broadcast side; upper: pairs i < j only."""
+    rows = data.select("id", "features").orderBy("id").collect()  # bounded by BLOCK_ROWS
+    left = matrix.select(F.col("id").alias("i"), F.col("features").alias("x"))
+    if not rows:
+        return left.select("i").withColumn("j", F.lit(None).cast("long")).withColumn("dist", F.lit(None).cast("double")).limit(0)
+    sent = matrix.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in rows]), np.array([r["features"] for r in rows], float)))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        jj, c = sent.value
+        for b in batches:
+            step = max(1, 1_000_000 // len(jj))
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                yield from _pairs_of(m, prior, reverse, upper, part.column(0).to_numpy(), matrix_of(part.column(1)), jj, c)
+
+    return left.mapInArrow(near, "i long, j long, dist double")
+
+
+def _pairs_of(m, prior: float, reverse: bool, upper: bool, ii: np.ndarray, a: np.ndarray, jj: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if upper and len(ii):
+        c, jj = c[jj > ii.min()], jj[jj > ii.min()]
+    if not len(ii) or not len(jj):
+        return
+    d = block_distance(m, a, c, prior) if reverse else block_distance(m, c, a, prior).T
+    i, j, d = np.repeat(ii, len(jj)), np.tile(jj, len(ii)), d.ravel()
+    keep = i < j if upper else slice(None)
+    yield pa.RecordBatch.from_arrays([pa.array(i[keep]), pa.array(j[keep]), pa.array(d[keep])], ["i", "j", "dist"])
+
+
+def _tile(m, prior: float, reverse: bool, upper: bool):
+    """Pairs of a tile (lb, lids, lrows, rb, rids, rrows), some rows of the left block at a time."""
 
-    total = data.count()
-    if total <= BLOCK_ROWS:
-        rows = side.orderBy("j").collect()  # bounded by BLOCK_ROWS
-        if not rows:
-            return left.select("i").withColumn("j", F.lit(None).cast("long")).withColumn("dist", F.lit(None).cast("double")).limit(0)
-        jj, c = np.array([r["j"] for r in rows]), np.array([r["y"] for r in rows], float)
-        sent = matrix.sparkSession.sparkContext.broadcast((jj, c))
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            jj, c = sent.value
-            for b in batches:
-                step = max(1, 1_000_000 // len(jj))
-                for lo in range(0, b.num_rows, step):
-                    part = b.slice(lo, step)
-                    a = matrix_of(part.column(1))
-                    d = block_distance(m, a, c, prior) if reverse else block_distance(m, c, a, prior).T
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), len(jj))), pa.array(np.tile(jj, len(a))), pa.array(d.ravel())], ["i", "j", "dist"])
-
-        return left.mapInArrow(near, "i long, j long, dist double")
-    blocks = side.groupBy(F.pmod(F.xxhash64("j"), F.lit(-(-total // BLOCK_ROWS))).alias("b")).agg(F.collect_list("j").alias("ids"), F.collect_list("y").alias("rows"))
-    return left.join(blocks.select("ids", "rows")).mapInArrow(_by_block(m, prior, reverse), "i long, j long, dist double")
-
-
-def _by_block(m, prior: float, reverse: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in range(b.num_rows):
-                a = matrix_of(b.column(1).slice(r, 1))
-                jj, c = b.column(2)[r].values.to_numpy(), matrix_of(b.column(3)[r].values)
-                d = block_distance(m, a, c, prior) if reverse else block_distance(m, c, a, prior).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).slice(r, 1).to_numpy(), len(jj))), pa.array(jj), pa.array(d.ravel())], ["i", "j", "dist"])
+            for t in range(b.num_rows):
+                ii, a, jj, c = b.column(1)[t].values.to_numpy(), matrix_of(b.column(2)[t].values), b.column(4)[t].values.to_numpy(), matrix_of(b.column(5)[t].values)
+                sides = [(ii, a, jj, c)]
+                if upper and b.column(0)[t].as_py() != b.column(3)[t].as_py():
+                    sides.append((jj, c, ii, a))  # each pair the way round in which i < j
+                for ii, a, jj, c in sides:
+                    step = max(1, 1_000_000 // len(jj))
+                    for lo in range(0, len(ii), step):
+                        yield from _pairs_of(m, prior, reverse, upper, ii[lo : lo + step], a[lo : lo + step], jj, c)
 
     return run
 
 
 def self_pairs(matrix: DataFrame, which="SQRL2", prior: float = 0.0) -> DataFrame:
-    """i, j, dist for i < j: measure(row_i, row_j)."""
-    return compare(matrix, matrix, which, prior, reverse=True).filter("i < j")
+    """i, j, dist for i < j: measure(row_i, row_j); of two blocks of rows one tile is looked at, not both."""
+    m = measure(which)
+    if m.block is None:
+        return compare(matrix, matrix, which, prior, reverse=True).filter("i < j")
+    if matrix.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS:
+        return _against_few(matrix, matrix, m, prior, True, True)
+    tiles = blocks_of(matrix, "l").join(blocks_of(matrix, "r"), F.col("lb") <= F.col("rb"))
+    return tiles.mapInArrow(_tile(m, prior, True, True), "i long, j long, dist double")
 
 
 def condensed_position(i: str, j: str, n: int):
@@ -90,17 +122,27 @@ def distance_matrix(matrix: DataFrame, which="SQRL2", prior: float = 0.0, symmet
 def assign(points: DataFrame, centers: np.ndarray, which="SQRL2", prior: float = 0.0, second: bool = False) -> DataFrame:
     """All columns of points, and cid, cost of the nearest center: measure(point, center), ties to the lowest cid.
 
-    second: also cid2, cost2 of the next nearest.  One pass without a join; the centers, of bounded size, go to every worker.
+    second: also cid2, cost2 of the next nearest.  One pass without a join or shuffle; centers go to every worker.  More than
+    ``CENTER_VALUES`` values of centers go in blocks, one pass after the other over what the blocks before have found.
     """
     m, centers = measure(which), np.asarray(centers, float)
-    if centers.size > CENTER_VALUES:
-        raise ValueError(f"centers of {centers.size} values are too many to send to every worker; the limit is {CENTER_VALUES}")
     if m.block is None:
-        raise ValueError("give assign a named measure")
+        return _assign_by_column(points, centers, m, prior, second)
+    rows = max(1, CENTER_VALUES // max(1, centers.shape[1] if centers.ndim > 1 else 1))
+    out = _assign_block(points, centers[:rows], 0, m, prior, second, False)
+    for at in range(rows, len(centers), rows):
+        out = _assign_block(saved(out), centers[at : at + rows], at, m, prior, second, True)
+    return out
+
+
+def _assign_block(points: DataFrame, centers: np.ndarray, first: int, m, prior: float, second: bool, more: bool) -> DataFrame:
+    """Nearest centers among a block that begins with cid ``first``; more: beside those that points already name."""
     sign = -1.0 if m.similarity else 1.0
     sent = points.sparkSession.sparkContext.broadcast(centers)
-    names = points.columns
+    found = ["cid", "cost", *(["cid2", "cost2"] if second else [])]
+    names = [c for c in points.columns if not (more and c in found)]
     at = names.index("features")
+    own = points.select(*names, *found) if more else points
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
@@ -111,17 +153,37 @@ def assign(points: DataFrame, centers: np.ndarray, which="SQRL2", prior: float =
                 x = matrix_of(part.column(at))
                 d = sign * block_distance(m, x, c, prior)
                 d = np.where(np.isnan(d), np.inf, d)
-                best = d.argmin(axis=1)
-                rows = np.arange(len(d))
-                own = [pa.array(best.astype(np.int32)), pa.array(sign * d[rows, best])]
-                if second:
+                cid = np.broadcast_to(np.arange(first, first + len(c)), d.shape)
+                if more:
+                    before = [i for i, name in enumerate(found) if name.startswith("cid")]
+                    d = np.concatenate([np.stack([sign * part.column(len(names) + i + 1).to_numpy() for i in before], axis=1), d], axis=1)
+                    cid = np.concatenate([np.stack([part.column(len(names) + i).to_numpy() for i in before], axis=1), cid], axis=1)
+                    if second:  # the next nearest of few centers may be none
+                        d[:, 1] = np.where(np.isnan(d[:, 1]), np.inf, d[:, 1])
+                out, rows = [], np.arange(len(d))
+                for _ in range(2 if second else 1):
+                    best = d.argmin(axis=1)
+                    out += [pa.array(cid[rows, best].astype(np.int32)), pa.array(sign * d[rows, best])]
                     d[rows, best] = np.inf
-                    nxt = d.argmin(axis=1)
-                    own += [pa.array(nxt.astype(np.int32)), pa.array(sign * d[rows, nxt])]
-                yield pa.RecordBatch.from_arrays([*part.columns, *own], [*names, "cid", "cost", *(["cid2", "cost2"] if second else [])])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *out], [*names, *found])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema if f.name in names) + ", cid int, cost double" + (", cid2 int, cost2 double" if second else "")
+    return own.mapInArrow(run, schema)
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + ", cid int, cost double" + (", cid2 int, cost2 double" if second else "")
-    return points.mapInArrow(run, schema)
+def _assign_by_column(points: DataFrame, centers: np.ndarray, m, prior: float, second: bool) -> DataFrame:
+    """The same for a measure given as a function of Columns: the centers are one array of structs beside every row."""
+    from centrova.plans.iterate import center_frame
+
+    if centers.size > CENTER_VALUES:
+        raise ValueError(f"centers of {centers.size} values are too many for a measure given as a function; the limit is {CENTER_VALUES}")
+    c = center_frame(points.sparkSession, centers).agg(F.sort_array(F.collect_list(F.struct("cid", "features"))).alias("__centers"))
+    costs = F.transform("__centers", lambda c: F.struct(distance(m, F.col("features"), c["features"], prior).alias("cost"), c["cid"].alias("cid")))
+    best = points.join(F.broadcast(c)).withColumn("__best", F.array_sort(costs)).drop("__centers")
+    out = best.withColumn("cid", F.col("__best")[0]["cid"]).withColumn("cost", F.col("__best")[0]["cost"])
+    if second:
+        out = out.withColumn("cid2", F.get("__best", F.lit(1))["cid"]).withColumn("cost2", F.get("__best", F.lit(1))["cost"])
+    return out.drop("__best")
 
 
 def oracle_assign(distances: DataFrame) -> DataFrame:

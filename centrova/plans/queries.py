@@ -306,4 +306,6 @@ def queries() -> dict[str, Query]:
     out |= {"soft_responsibilities": soft_responsibilities, "distortion": distortion, "erase_empty": erase_empty, "submatrix": submatrix, "concat": concat, "normalised_columns": normalised_columns, "components": components, "sssp": sssp, "spanning_tree": spanning_tree}
     out |= {"lsh_candidates": lsh_candidates, "jv_kmedian": jv_kmedian, "kmedian_local_search": kmedian_search, "kmedian_exhaustive": kmedian_exhaustive, "minibatch": minibatch, "hierarchical": hierarchical, "streaming_ofl": streaming_ofl}
     out |= {"thorup_sample": thorup_sample, "kcenter_coreset": kcenter_coreset, "measure_registry": measure_registry}
-    return out
+    from centrova.plans import more
+
+    return out | more.queries()

@@ -14,7 +14,9 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """n, v: the lines of one file in order, n from 0; a file of lines is read by one task per split, numbered within and across."""
     from centrova.operators.matrix import _numbered
 
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("m"), F.trim("value").alias("v"))
+    from centrova.plans.iterate import saved
+
+    raw = saved(spark.read.text(path).select(F.monotonically_increasing_id().alias("m"), F.trim("value").alias("v")))  # numbers are given once
     return raw.join(_numbered(raw, "m", "n"), "m").select("n", "v")
 
 
@@ -85,6 +87,58 @@ def write_gr(vertices: int, edges: DataFrame, path: str) -> None:
     head.union(edges.select(F.format_string("a %d %d %s", F.col("src") + 1, F.col("dst") + 1, F.col("weight").cast("string")).alias("value"))).write.text(path)
 
 
+def write_adjacency(vertices: int, edges: DataFrame, path: str) -> None:
+    """An adjacency file (format 1, weighted): a line per vertex in order, which one task writes."""
+    spark = edges.sparkSession
+    n = edges.filter("src < dst").count()
+    entry = F.concat_ws(" ", (F.col("dst") + 1).cast("string"), F.col("weight").cast("string"))
+    own = edges.withColumn("e", entry).groupBy("src").agg(F.concat_ws(" ", F.sort_array(F.collect_list(F.struct("dst", "e")))["e"]).alias("value"))
+    lines = spark.range(vertices).withColumnRenamed("id", "src").join(own, "src", "left").select((F.col("src") + 1).alias("n"), F.coalesce("value", F.lit("")).alias("value"))
+    head = spark.createDataFrame([(0, f"{vertices} {n} 1")], "n long, value string")
+    head.union(lines).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+
+
+def read_osm(spark: SparkSession, path: str, highways: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes id, lat, lon; ways way, refs) of map files in XML: ways with a ``highway`` tag, of these kinds if given.
+
+    A file is one task's, read element by element; split a large map into files.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import xml.etree.ElementTree as ET
+
+        for g in frames:
+            for content in g["content"]:
+                rows = []
+                for _, el in ET.iterparse(io.BytesIO(content)):
+                    if el.tag == "node":
+                        rows.append(("node", int(el.get("id")), float(el.get("lat")), float(el.get("lon")), None))
+                        el.clear()
+                    elif el.tag == "way":
+                        kind = next((t.get("v") for t in el.iter("tag") if t.get("k") == "highway"), None)
+                        if kind is not None and (highways is None or kind in highways):
+                            rows.append(("way", int(el.get("id")), None, None, [int(r.get("ref")) for r in el.iter("nd")]))
+                        el.clear()
+                    if len(rows) >= 10_000:
+                        yield pd.DataFrame(rows, columns=["kind", "id", "lat", "lon", "refs"])
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["kind", "id", "lat", "lon", "refs"])
+
+    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "kind string, id long, lat double, lon double, refs array<long>")
+    return found.filter("kind = 'node'").select("id", "lat", "lon"), found.filter("kind = 'way'").select(F.col("id").alias("way"), "refs")
+
+
+def read_stars(spark: SparkSession, path: str) -> DataFrame:
+    """id, x, y, z of a star catalogue in CSV with a header, whatever its other columns."""
+    t = spark.read.csv(path, header=True)
+    return t.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z")]).filter("id is not null and x is not null and y is not null and z is not null")
+
+
 def ways_to_edges(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """Edges in metres between consecutive located nodes of ways: nodes (id, lat, lon), ways (way, refs)."""
     r = ways.select("way", F.posexplode("refs").alias("at", "id")).join(nodes, "id")

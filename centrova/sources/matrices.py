@@ -18,16 +18,16 @@ def read_matrix_market(spark: SparkSession, path: str, transpose: bool = False)
 
     Places start at 0. Rows and columns come from the header, as metadata of ``value``.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("v")).filter("v != '' and v not like '!%%' escape '!'").filter(~F.col("v").startswith("%"))
-    # The header is the one line of counts: whole numbers, the third of which is the number of other lines.
-    first = lines.limit(1).first()
+    where = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(F.trim("value").alias("v"), where.alias("at")).filter("v != ''").filter(~F.col("v").startswith("%"))
+    # The header is the first line but comments, by file and place in it: tasks may read the parts in any order.
+    first = lines.agg(F.min(F.struct("at", "v")).alias("m")).first()["m"]
     if first is None:
         raise ValueError(f"{path} has no header line")
     rows, cols, nnz = (int(x) for x in first["v"].split()[:3])
-    numbered = lines.withColumn("n", F.monotonically_increasing_id())
-    head = numbered.filter(F.col("v") == first["v"]).agg(F.min("n").alias("h")).first()["h"]
-    parts = F.split("v", r"\s+")
-    e = numbered.filter(F.col("n") != head).select((parts[0].cast("long") - 1).alias("id"), (parts[1].cast("int") - 1).alias("feature"), F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(1.0)).alias("value"))
+    at, parts = first["at"], F.split("v", r"\s+")
+    head = (F.col("at.file_path") == at["file_path"]) & (F.col("at.file_block_start") == at["file_block_start"]) & (F.col("at.n") == at["n"])
+    e = lines.filter(~head).select((parts[0].cast("long") - 1).alias("id"), (parts[1].cast("int") - 1).alias("feature"), F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(1.0)).alias("value"))
     found = e.count()
     if found != nnz:
         raise ValueError(f"{path} has {found} entries, its header says {nnz}")
@@ -37,19 +37,46 @@ def read_matrix_market(spark: SparkSession, path: str, transpose: bool = False)
     return e.withMetadata("value", {"rows": rows, "columns": cols})
 
 
-def write_matrix_market(long: DataFrame, rows: int, columns: int, path: str) -> None:
-    """A coordinate file as a folder of text parts; the header is in the first one."""
+def write_matrix_market(long: DataFrame, rows: int, columns: int, path: str, compression: str = "none") -> None:
+    """A coordinate file as a folder of text parts, compressed if asked; the header is in the first one."""
     n = long.count()
     body = long.select(F.format_string("%d %d %s", F.col("id") + 1, F.col("feature") + 1, F.col("value").cast("string")).alias("value"))
     head = long.sparkSession.createDataFrame([("%%MatrixMarket matrix coordinate real general",), (f"{rows} {columns} {n}",)], "value string").coalesce(1)
-    head.union(body).write.text(path)
+    head.union(body).write.option("compression", compression).text(path)
+
+
+def read_xz_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines of .xz files, which Spark's codecs do not read; a file is one task's, as its format cannot be split."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import lzma
+
+        for g in frames:
+            for content in g["content"]:
+                lines = lzma.decompress(content).decode("utf-8").split("\n")
+                for lo in range(0, len(lines), 10_000):
+                    yield pd.DataFrame({"value": lines[lo : lo + 10_000]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string").filter("value != ''")
+
+
+def read_h5_group(path: str, group: str, spark: SparkSession) -> DataFrame:
+    """Sparse rows of a group (data, indices, indptr, shape) of an HDF5 file on the driver; needs the h5py package."""
+    try:
+        import h5py
+    except ImportError as e:
+        raise RuntimeError("reading HDF5 needs the h5py package, which is not installed") from e
+    with h5py.File(path, "r") as f:
+        g = f[group]
+        rows = len(g["indptr"]) - 1
+        return from_csr(spark, g["data"][:], g["indices"][:], g["indptr"][:], (rows, int(g["shape"][0])))
 
 
 def read_raw_columns(spark: SparkSession, folder: str, skip_empty: bool = False) -> DataFrame:
     """Sparse rows of ``indptr.file``, ``indices.file``, ``data.file`` and ``shape.file`` (64-bit offsets and shape, 32-bit places, 32-bit values).
 
-    The offsets are cut to ranges of rows; each task reads its ranges of the other files' bytes, which Spark has loaded as binary
-    columns.  Rows come sorted by place.
+    The four files are one row of binary columns and so one task's, with at most 2 GB a file; larger matrices are better kept as
+    Parquet.  Rows come sorted by place.
     """
     f = spark.read.format("binaryFile").load([f"{folder}/{x}.file" for x in ("indptr", "indices", "data", "shape")])
     one = f.select(F.regexp_extract("path", r"(\w+)\.file$", 1).alias("k"), "content").groupBy().pivot("k", ["indptr", "indices", "data", "shape"]).agg(F.first("content"))
