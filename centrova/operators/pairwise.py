@@ -172,17 +172,19 @@ def _assign_block(points: DataFrame, centers: np.ndarray, first: int, m, prior:
 
 
 def _assign_by_column(points: DataFrame, centers: np.ndarray, m, prior: float, second: bool) -> DataFrame:
-    """The same for a measure given as a function of Columns: the centers are one array of structs beside every row."""
+    """The same for a measure given as a function of Columns: a block of centers is one array of structs beside every row."""
     from centrova.plans.iterate import center_frame
 
-    if centers.size > CENTER_VALUES:
-        raise ValueError(f"centers of {centers.size} values are too many for a measure given as a function; the limit is {CENTER_VALUES}")
-    c = center_frame(points.sparkSession, centers).agg(F.sort_array(F.collect_list(F.struct("cid", "features"))).alias("__centers"))
-    costs = F.transform("__centers", lambda c: F.struct(distance(m, F.col("features"), c["features"], prior).alias("cost"), c["cid"].alias("cid")))
-    best = points.join(F.broadcast(c)).withColumn("__best", F.array_sort(costs)).drop("__centers")
-    out = best.withColumn("cid", F.col("__best")[0]["cid"]).withColumn("cost", F.col("__best")[0]["cost"])
-    if second:
-        out = out.withColumn("cid2", F.get("__best", F.lit(1))["cid"]).withColumn("cost2", F.get("__best", F.lit(1))["cost"])
+    rows = max(1, CENTER_VALUES // max(1, centers.shape[1] if centers.ndim > 1 else 1))
+    out = points.withColumn("__best", F.array().cast("array<struct<cost:double,cid:int>>"))
+    for at in range(0, len(centers), rows):
+        out = out if at == 0 else saved(out)
+        frame = center_frame(points.sparkSession, centers[at : at + rows]).withColumn("cid", F.col("cid") + at)
+        c = frame.agg(F.collect_list(F.struct("cid", "features")).alias("__centers"))
+        costs = F.transform("__centers", lambda c: F.struct(distance(m, F.col("features"), c["features"], prior).alias("cost"), c["cid"].alias("cid")))
+        out = out.join(F.broadcast(c)).withColumn("__best", F.slice(F.array_sort(F.concat("__best", costs)), 1, 2)).drop("__centers")
+    for i, (cid, cost) in enumerate([("cid", "cost"), ("cid2", "cost2")][: 2 if second else 1]):
+        out = out.withColumn(cid, F.get("__best", F.lit(i))["cid"]).withColumn(cost, F.get("__best", F.lit(i))["cost"])
     return out.drop("__best")
 
 
