@@ -1,12 +1,13 @@
 """Toxicity by noisy-channel deobfuscation and a linear score of the restored text.
 
-*Language model.*  Character 4-grams of every text are counted in every task and summed; 32 symbols (white space and punctuation,
-26 letters, four classes of further letters, digits) bound the table by 32**4 entries, whatever the corpus.
+*Language model.*  Character 4-grams of the words of every text are counted in every task and summed; tokens that look disguised are
+left out.  32 symbols (word end, 26 letters, four classes of further letters, digits) bound the table by 32**4 entries, whatever
+the corpus.
 
-*Channel.*  A token is suspicious if it mixes letters with leet signs, repeats a letter three times or more, or spells a word with
-separators; runs of single characters between spaces are one token.  Each character of it becomes a column of a lattice: the
-letters that the sign may stand for, the sign itself, or nothing where it repeats the one before.  Viterbi decoding under the
-model gives the restored token; all other tokens are only lower-cased.
+*Channel.*  A token is suspicious if it mixes letters with leet signs or repeats a letter three times or more; so is a run of
+single characters between spaces or other separators.  Each character of it becomes a column of a lattice: the letters that the
+sign may stand for, the sign itself, or nothing where it repeats the one before; a separator stands for nothing or for the end of
+a word.  Viterbi decoding under the model gives the restored words; all other tokens are only lower-cased.
 
 *Score.*  Words, and prefixes of four to seven bytes, of the restored text are hashed; of the features present in a bounded sample
 of labelled rows those associated with the label are kept and weighed by logistic regression.  Labels are learned from rows whose
@@ -40,24 +41,45 @@ _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[128:] = 27 + (np.arange(128, 256) & 3)
 _SYMBOL[48:58] = 31
 N_SYMBOLS = 32
+_LETTER = (_SYMBOL > 0) & (_SYMBOL < 31)
+#: Bytes that tell a disguised word where they stand in one token with letters.
+_ODD = np.zeros(256, bool)
+_ODD[list(b"0123456789@$|+*#")] = True
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h", "€": "e", "£": "l"}
 _SIGN = math.log(0.02)
 _KEPT = math.log(0.9)
 _DROPPED = math.log(0.3)
+#: A separator between single characters stands for nothing, or ends a word.
+_JOINED = _PARTED = math.log(0.5)
+
+
+def _word_stream(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The symbols of the words (runs of letters) of tokens that do not look disguised, three word ends before each word and after the last."""
+    token, stop = tb.spans(data, offs, tb.NOT_SPACE)
+    signs = _ODD[data]
+    signs[1:-1] |= (data[1:-1] == data[:-2]) & (data[1:-1] == data[2:]) & _LETTER[data[1:-1]]
+    sums = np.concatenate([[0], np.cumsum(signs)])
+    odd = sums[stop] > sums[token]
+    inside = np.cumsum(np.bincount(token[odd], minlength=len(data) + 1) - np.bincount(stop[odd], minlength=len(data) + 1))[:-1]
+    member = _LETTER[data] & (inside == 0)
+    start, stop = tb.spans(np.where(member, data, 32).astype(np.uint8), offs, tb.NOT_SPACE)
+    n = stop - start
+    at = np.flatnonzero(member)
+    out = np.zeros(len(at) + 3 * (len(n) + 1), np.int64)
+    out[np.arange(len(at)) + 3 * np.repeat(np.arange(1, len(n) + 1), n)] = _SYMBOL[data[at]]
+    return out
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """gram, n: how often each 4-gram of symbols occurs in all texts."""
+    """gram, n: how often each 4-gram of symbols occurs in the words of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = np.zeros(N_SYMBOLS**4, np.int64)
             for _, _, data, offs in tb.slices(batch.column(0)):
-                # Two boundaries before and after each text keep 4-grams from crossing texts.
-                s = np.zeros(len(data) + 3 * len(offs), np.int64)
-                s[np.arange(len(data)) + 3 * np.repeat(np.arange(1, len(offs)), np.diff(offs))] = _SYMBOL[data]
+                s = _word_stream(data, offs)
                 total += np.bincount(((s[:-3] * N_SYMBOLS + s[1:-2]) * N_SYMBOLS + s[2:-1]) * N_SYMBOLS + s[3:], minlength=len(total))
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["gram", "n"])
@@ -66,15 +88,24 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
-    """log P(symbol | three before), 32**4 entries as float32; trigrams, bigrams and symbols back up what is rare."""
+    """log P(symbol | three before), 32**4 entries as float32.
+
+    Rare contexts are backed up by shorter ones with the weight of the number of symbols seen after them.  A context that begins
+    with word ends is the same event as the shorter one, and is not backed up twice.
+    """
     found = count_grams(docs).toPandas()  # at most 32**4 rows
     n4 = np.zeros(N_SYMBOLS**4)
     n4[found["gram"].to_numpy(np.int64)] = found["n"].to_numpy()
     n4 = n4.reshape((N_SYMBOLS,) * 4)
+    n4[:, :, 0, 0] = 0  # what follows a word end is the next word
     p = (n4.sum(axis=(0, 1, 2)) + 1) / (n4.sum() + N_SYMBOLS)
     for axes in ((0, 1), (0,), ()):
         n = n4.sum(axis=axes)
-        p = (n + 4 * p) / (n.sum(axis=-1, keepdims=True) + 4)
+        kinds = np.maximum((n > 0).sum(axis=-1, keepdims=True), 1)
+        shorter = np.broadcast_to(p, n.shape)
+        p = (n + kinds * shorter) / (n.sum(axis=-1, keepdims=True) + kinds)
+        if n.ndim > 2:
+            p[0, 0] = shorter[0, 0]
     return np.log(p).astype(np.float32).ravel()
 
 
@@ -82,8 +113,10 @@ class Restorer:
     """Restored forms of tokens under a language model; each worker keeps those it has met."""
 
     KEPT = 1_000_000
-    _spaced = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
-    _separated = re.compile(r"[^\W_]([.\-_*~])[^\W_](?:\1[^\W_]){2,}")
+    _one = r"[^\W_]|[@$!|+*#€£]"
+    _spaced = re.compile(rf"(?<![^\s\"'(\[<])(?:{_one})(?:[ \t](?:{_one})){{2,}}(?![^\s\"')\]>.,;:!?])")
+    _separated = re.compile(rf"(?:{_one})(?:[.\-_*~](?:{_one})){{2,}}")
+    _letters = re.compile(r"[^\W\d_].*[^\W\d_]", re.S)
     _signs = re.compile(r"(?=.*[^\W\d_])(?=.*[0-9@$!|+(*#€£])")
     _repeats = re.compile(r"([^\W\d_])\1\1")
     _edges = re.compile(r"^[\"'(\[<]*(.*?)[\"')\]>.,;:!?]*$", re.S)
@@ -93,45 +126,69 @@ class Restorer:
 
     def text(self, text: str) -> str:
         """The text in lower case with suspicious tokens restored, words parted by one space."""
-        text = self._spaced.sub(lambda m: m[0].replace(" ", "").replace("\t", ""), text)
         kept = self._kept
         if len(kept) > self.KEPT:
             kept.clear()
-        out = []
+        out: list[str] = []
+        at = 0
+        for m in self._spaced.finditer(text):
+            self._tokens(text[at : m.start()], out)
+            run = kept.get(m[0])
+            if run is None:
+                run = kept[m[0]] = self.apart(m[0].lower()) if self._letters.search(m[0]) else m[0].lower()
+            out.append(run)
+            at = m.end()
+        self._tokens(text[at:] if at else text, out)
+        return " ".join(out)
+
+    def _tokens(self, text: str, out: list[str]) -> None:
+        kept = self._kept
         for t in text.split():
             r = kept.get(t)
             if r is None:
                 r = kept[t] = self.token(t)
             out.append(r)
-        return " ".join(out)
 
     def token(self, token: str) -> str:
         t = token.lower()
-        if self._separated.fullmatch(t):
-            t = t[::2]
         if t.isascii() and t.isalpha() and not self._repeats.search(t):
             return t
         core = self._edges.match(t)[1]
+        if self._separated.fullmatch(core) and self._letters.search(core):
+            return self.apart(core)
         if not (self._signs.match(core) or self._repeats.search(core)):
             return t
-        return self.decode(core)
+        return self.decode([(c, False) for c in core])
+
+    def apart(self, run: str) -> str:
+        """The words of a run of single characters with one separator after each."""
+        return self.decode([(c, i % 2 == 1) for i, c in enumerate(run)])
 
-    def decode(self, word: str) -> str:
-        """The likeliest letters behind a word: Viterbi over (last three symbols), with the letter that a repeat would double."""
+    def decode(self, lattice: list[tuple[str, bool]]) -> str:
+        """The likeliest words behind characters (and whether each is a separator): Viterbi over the last three symbols and the letter that a repeat would double."""
         # States: context of three symbols and last letter written -> (score, letters as a linked list).
         states = {(0, ""): (0.0, None)}
         before = ""
-        for ch in word:
+        for ch, separator in lattice:
+            nxt: dict[tuple[int, str], tuple[float, tuple | None]] = {}
+            if separator:
+                for (ctx, last), (score, path) in states.items():
+                    s = score + _PARTED + float(self.model[ctx * N_SYMBOLS])
+                    for key, v, way in (((ctx, last), score + _JOINED, path), ((0, ""), s, (path, " "))):
+                        if key not in nxt or nxt[key][0] < v:
+                            nxt[key] = v, way
+                states = nxt
+                continue
             options = [(ch, _KEPT)] + [(x, _SIGN - math.log(len(LEET[ch]))) for x in LEET.get(ch, "")]
             symbols = [(x, int(_SYMBOL[x.encode("utf-8")[-1]]), cost) for x, cost in options]
-            nxt: dict[tuple[int, str], tuple[float, tuple | None]] = {}
             for (ctx, last), (score, path) in states.items():
-                if ch == before:  # a repeat that stands for nothing
+                if ch == before and last:  # a repeat that stands for nothing
                     key, s = (ctx, last), score + _DROPPED
                     if key not in nxt or nxt[key][0] < s:
                         nxt[key] = s, path
                 for x, sym, cost in symbols:
-                    s = score + cost + float(self.model[ctx * N_SYMBOLS + sym])
+                    # a sign that is kept is no word end, and as rare as a digit
+                    s = score + cost + float(self.model[ctx * N_SYMBOLS + (sym or N_SYMBOLS - 1)])
                     key = (ctx * N_SYMBOLS + sym) % N_SYMBOLS**3, x
                     if key not in nxt or nxt[key][0] < s:
                         nxt[key] = s, (path, x)
@@ -174,7 +231,8 @@ def _sample(docs: DataFrame, labels: DataFrame, language: np.ndarray, rows: int)
     """(row of each feature, feature, label of each row) of at most ``rows`` labelled rows outside the held-out fold."""
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(~_held_out())
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(marks, "doc_id").select("text", "toxic")
+    # One text of each labelled doc_id, so that what reaches the driver is bounded however often an id is repeated.
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     sent = docs.sparkSession.sparkContext.broadcast(language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
