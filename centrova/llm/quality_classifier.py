@@ -1,18 +1,21 @@
 """Quality classifier from weak labels.
 
 Ten heuristic labellers vote sound (+1), unsound (-1) or nothing (0) on every text.  Expectation-maximisation over the counts of
-vote patterns (at most 3**10, counted over all texts) estimates, without any given label, how often each labeller alarms on each kind of texts;
-the posterior of a pattern is the probability that its texts are of a sound kind.  On a bounded sample of texts the posteriors
-train a logistic scorer over hashed shapes of words, which then scores every text.
-
-Defined results: null or empty text gets the votes of no words and the score of no features; repeated rows each give a row; an
-empty table gives an empty result; only doc_id and text are read.
+vote patterns (at most 3**10, counted over all texts) estimates, without any given label, the share of unsound texts and how often
+each labeller is right on sound and on unsound ones; whether it votes at all says nothing about the class.  Labellers that err
+together are found by the correlation of what their votes leave unexplained, and share their weight.  The posterior of a pattern
+is the probability that its texts are sound.  On a bounded sample of different texts the posteriors train a logistic scorer over
+hashed shapes of words, which then scores every text.
+
+Defined results: null or empty text gets the votes of no words and the score of no features; repeated rows each give a row and are
+one text of the sample; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -113,45 +116,69 @@ def count_patterns(docs: DataFrame) -> np.ndarray:
     return out
 
 
-#: No labeller is trusted to alarm, or to stay calm, on a kind of texts without this rate of error.
-LEAST_ERROR = 0.05
-#: A kind is unsound if so many labellers alarm on most of its texts.
-AGREEING = 2
+@dataclass
+class LabelModel:
+    """What expectation-maximisation says of the classes (0 sound, 1 unsound) and the labellers."""
+
+    #: Posterior probability of sound by vote pattern.
+    posterior: np.ndarray
+    #: Shares of the classes; P(alarm | class, vote cast) as (class, labeller).
+    share: np.ndarray
+    alarms: np.ndarray
+    #: Shares of texts that a labeller does not vote on, and the weight left to its votes beside those that err with it.
+    abstains: np.ndarray
+    weights: np.ndarray
 
+    def report(self) -> list[dict]:
+        """A row per labeller: accuracy on sound and on unsound texts, overall, how often it abstains, and its weight."""
+        rows = []
+        for j, name in enumerate(LABELLERS):
+            sound, unsound = 1 - self.alarms[0, j], self.alarms[1, j]
+            rows.append({"labeller": name, "on_sound": sound, "on_unsound": unsound, "accuracy": self.share[0] * sound + self.share[1] * unsound, "abstains": self.abstains[j], "weight": self.weights[j]})
+        return rows
 
-def expectation_maximisation(counts: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of sound by pattern, P(-1 | kind, vote cast) as (kind, labeller), shares of the kinds).
 
-    Texts are of one kind more than there are labellers.  The first begins with few alarms, each other one with one labeller's alarm
-    and free to take up others, for what is wrong with a text seldom alarms all labellers at once.  Kinds on which AGREEING labellers
-    come to alarm mostly are unsound.  A labeller that does not vote says nothing.
+def expectation_maximisation(counts: np.ndarray, rounds: int = 500, clear: float = 1e-3, false_alarms: float = 0.02) -> LabelModel:
+    """The model of counts of vote patterns.
+
+    It begins with few alarms on sound texts and some of each labeller on unsound ones.  What is known of the heuristics is that they
+    seldom alarm without cause: on sound texts no rate of alarms is taken to be above ``false_alarms``, so that kinds of unsound
+    texts that alarm different labellers are one class.  No rate is taken to be nearer to 0 or 1 than ``clear``.
     """
     k = len(LABELLERS)
     vote = (np.arange(len(counts))[:, None] // _BASE) % 3
     seen = np.flatnonzero(counts)
-    bad, good, n = (vote == 0).astype(float), (vote == 2).astype(float), counts[seen].astype(float)
-    p = np.full((k + 1, k), 0.1)
-    p[0] = LEAST_ERROR
-    p[1:][np.eye(k, dtype=bool)] = 0.9
-    share = np.full(k + 1, 0.2 / k)
-    share[0] = 0.8
-
-    def posterior(rows) -> np.ndarray:
-        log = np.log(share) + bad[rows] @ np.log(p).T + good[rows] @ np.log(1 - p).T
+    alarm, calm, n = (vote == 0).astype(float), (vote == 2).astype(float), counts[seen].astype(float)
+    p, share = np.stack([np.full(k, 0.02), np.full(k, 0.3)]), np.array([0.8, 0.2])
+
+    def posterior(rows, weights) -> np.ndarray:
+        log = np.log(share) + (alarm[rows] * weights) @ np.log(p).T + (calm[rows] * weights) @ np.log(1 - p).T
         q = np.exp(log - log.max(axis=1, keepdims=True))
         return q / q.sum(axis=1, keepdims=True)
 
+    alike = np.ones(k)
     for _ in range(rounds if len(seen) else 0):
-        q = posterior(seen) * n[:, None]
-        alarms, calms = q.T @ bad[seen], q.T @ good[seen]
-        p = np.clip((alarms + 0.1) / (alarms + calms + 1.0), LEAST_ERROR, 1 - LEAST_ERROR)
-        new = (q.sum(axis=0) + 0.1) / (n.sum() + 0.1 * (k + 1))
-        still = np.abs(new - share).max() < 1e-9
-        share = new
+        q = posterior(seen, alike) * n[:, None]
+        alarms, calms = q.T @ alarm[seen], q.T @ calm[seen]
+        new_p = np.clip((alarms + 0.1) / (alarms + calms + 1.0), clear, 1 - clear)
+        new_p[0] = np.minimum(new_p[0], false_alarms)
+        new = (q.sum(axis=0) + 0.1) / (n.sum() + 0.2)
+        still = np.abs(new - share).max() < 1e-9 and np.abs(new_p - p).max() < 1e-6
+        share, p = new, new_p
         if still:
             break
-    sound = (p > 0.5).sum(axis=1) < AGREEING
-    return posterior(slice(None))[:, sound].sum(axis=1), p, share
+    weights, cast = np.ones(k), alarm[seen] + calm[seen]
+    if len(seen):
+        q, together = posterior(seen, alike) * n[:, None], np.zeros((k, k))
+        for c in (0, 1):
+            left = alarm[seen] - p[c] * cast
+            together += (left * q[:, c, None]).T @ left
+        size = np.sqrt(np.diag(together) + 0.005 * n.sum())  # labellers with little left unexplained are not tied together
+        r = np.clip(together / size[:, None] / size[None], 0, 1)
+        np.fill_diagonal(r, 1.0)
+        weights = 1 / r.sum(axis=1)
+    abstains = 1 - (n @ cast) / max(n.sum(), 1.0) if len(seen) else np.ones(k)
+    return LabelModel(posterior(slice(None), weights)[:, 0], share, p, abstains, weights)
 
 
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -213,7 +240,9 @@ def _sample(docs: DataFrame, total: int, rows: int) -> tuple[np.ndarray, ...]:
                 lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(v)) for v in (f.astype(np.int32), x.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([pa.array(patterns(data, offs).astype(np.int32)), *lists], ["pattern", "f", "x"])
 
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(pick).select("text").mapInArrow(run, "pattern int, f array<int>, x array<float>").toArrow()
+    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(pick)
+    # Repeated rows are one text of the sample, so what reaches the driver is bounded however often a row is repeated.
+    found = picked.groupBy(F.xxhash64("doc_id", "text")).agg(F.first("text").alias("text")).select("text").mapInArrow(run, "pattern int, f array<int>, x array<float>").toArrow()
     lists = [pa.concat_arrays(found.column(c).chunks) if found.column(c).num_chunks else pa.array([], pa.list_(pa.int32())) for c in ("f", "x")]
     size = lists[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(lists[0]) else np.zeros(0, np.int64)
     return np.repeat(np.arange(len(size)), size), lists[0].flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists[1].flatten().to_numpy(zero_copy_only=False).astype(float), found.column("pattern").to_numpy().astype(np.int64)
@@ -222,7 +251,7 @@ def _sample(docs: DataFrame, total: int, rows: int) -> tuple[np.ndarray, ...]:
 def classify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, posterior (of the text's votes), score (of the scorer), predicted (1: sound), kept (predicted is 1)."""
     counts = count_patterns(docs)
-    posterior, _, _ = expectation_maximisation(counts)
+    posterior = expectation_maximisation(counts).posterior
     row, f, x, pattern = _sample(docs, int(counts.sum()), sample_rows)
     weights, bias = fit(row, f, x, posterior[pattern])
     sent = docs.sparkSession.sparkContext.broadcast((posterior, weights, bias))
