@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def narrowed(df: DataFrame, by: int) -> DataFrame:
+    """The frame in a ``by``-th of the shuffle's partitions: what follows a shuffle of whole documents or keys but is far smaller.
+
+    Every file written costs a rename and a change of its mode, for which local and networked folders may start a process.
+    """
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // by))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The frame as written to the folder in spark.checkpoint.dir, so that a lost executor costs no recomputation of lineage."""
     sc = df.sparkSession.sparkContext
@@ -30,10 +38,10 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
-    """``saved``, with its rows (``n``) and further metrics observed in the same job; a frame of few rows has few partitions."""
+def counted(df: DataFrame, by: int = 16, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``saved`` in few partitions, with its rows (``n``) and further metrics observed in the same job."""
     seen = Observation()
-    out = saved(df.observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in metrics.items()]))
+    out = saved(narrowed(df, by).observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in metrics.items()]))
     found = seen.get
     return out.coalesce(max(1, -(-found["n"] // TASK_ROWS))), found
 
