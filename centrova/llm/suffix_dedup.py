@@ -11,9 +11,11 @@ that occur once (nearly all) end here, before any text is moved.
 core, and ``column_bwt`` inserts one symbol of each per round into the transform and common prefixes of their collection; a window
 whose common prefix with a neighbour reaches ``length`` is repeated.  Keys are packed into buckets of bounded bytes.
 
-*Hot keys.*  A passage a little longer than a core in a large part of all documents has a key with as many different strings.  Keys
-of more than ``most_strings`` are cut down to single windows instead, counted by a hash of the whole window with minima and sums
-taken before the shuffle; this is as exact, and no task holds the key.
+*Hot keys.*  A passage a little longer than a core in a large part of all documents has a key with as many different strings.  The
+segments of keys of more than ``most_strings`` are cut at further columns: windows of a narrower range of distances share more of
+their bytes, a longer core, which is the next key.  At a range of one distance the core is the window, so a key holds one string.
+
+Texts go by 128 bits of their hash.  Only texts that hold a wanted string, and in the end those that lose bytes, are moved.
 
 Defined results: null text is empty; texts shorter than ``length`` keep all bytes; repeated rows repeat each other and lose what
 they share; an empty table gives an empty result; null doc_ids stay null; only doc_id and text are read.
@@ -32,9 +34,13 @@ from pyspark.sql import functions as F
 
 from centrova.llm import textbytes as tb
 from centrova.llm.column_bwt import repeated_starts
-from centrova.llm.frames import saved
+from centrova.llm.frames import bounded_broadcast, narrowed, release, saved
 
 LENGTH, GRAM, MOST_STRINGS, BUCKET_BYTES = 400, 24, 4096, 2 << 20
+#: Distances from the core that the pieces of a hot key's segments span, level by level.
+FINER = (24, 4, 1)
+#: Names of texts (16 bytes each) that are broadcast to pick these texts; more meet the texts in a shuffled join.
+BROADCAST_NAMES = 1_000_000
 _AT = np.uint64((1 << 21) - 1)
 U64 = np.uint64
 
@@ -100,9 +106,9 @@ def segments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """docs with __text, never null, and its name: a hash and the number of bytes.  What is repeated in a text depends on it alone."""
+    """docs with __text, never null, and its name: two hashes.  What is repeated in a text depends on it alone."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("__text", text).withColumn("__name", F.xxhash64(text)).withColumn("__bytes", F.octet_length(text).cast("long"))
+    return docs.withColumn("__text", text).withColumn("__name", F.xxhash64(text)).withColumn("__name2", F.xxhash64(F.lit(1), text))
 
 
 def _segment_rows(named: DataFrame, length: int, gram: int) -> DataFrame:
@@ -111,17 +117,24 @@ def _segment_rows(named: DataFrame, length: int, gram: int) -> DataFrame:
             for lo, hi, data, offs in tb.slices(batch.column(0)):
                 s = segments(data, offs, length, gram)
                 rows = pa.array(s["row"] + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(s["key"]), pa.array(s["string"]), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(s["start"]), pa.array(s["size"].astype(np.int32)), pa.array(s["head"].astype(np.int32))], ["key", "string", "name", "bytes", "start", "size", "head"])
+                yield pa.RecordBatch.from_arrays([pa.array(s["key"]), pa.array(s["string"]), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(s["start"]), pa.array(s["size"].astype(np.int32)), pa.array(s["head"].astype(np.int32))], ["key", "string", "name", "name2", "start", "size", "head"])
+
+    schema = "key long, string long, name long, name2 long, start long, size int, head int"
+    return named.select("__text", "__name", "__name2").filter(F.octet_length("__text") >= length).mapInArrow(run, schema)
+
 
-    schema = "key long, string long, name long, bytes long, start long, size int, head int"
-    return named.select("__text", "__name", "__bytes").filter(F.col("__bytes") >= length).mapInArrow(run, schema)
+def _of_names(named: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    """The rows of named whose text is (``left_semi``), or is not (``left_anti``), among names (name, name2)."""
+    keep = bounded_broadcast(names.select(F.col("name").alias("n1"), F.col("name2").alias("n2")), BROADCAST_NAMES)
+    return named.join(keep, (F.col("__name") == F.col("n1")) & (F.col("__name2") == F.col("n2")), how)
 
 
 def _cut(named: DataFrame, wanted: DataFrame, run, schema: str) -> DataFrame:
-    """run over (text, list of wanted rows' structs): the texts of the wanted rows only."""
-    lists = wanted.groupBy("name", "bytes").agg(F.collect_list(F.struct("key", "string", "n", "start", "size", "head")).alias("rows"))
-    texts = named.select("__text", "__name", "__bytes").filter(F.col("__bytes") > 0)
-    return texts.join(lists, (F.col("__name") == F.col("name")) & (F.col("__bytes") == F.col("bytes"))).select("__text", "rows").mapInArrow(run, schema)
+    """run over (text, list of wanted rows' structs): the texts of the wanted rows only, once each."""
+    lists = wanted.groupBy("name", "name2").agg(F.collect_list(F.struct("key", "string", "n", "start", "size", "head")).alias("rows"))
+    texts = _of_names(named.select("__text", "__name", "__name2"), saved(narrowed(wanted.select("name", "name2").distinct(), 4)), "left_semi")
+    texts = texts.dropDuplicates(["__name", "__name2"])
+    return texts.join(lists, (F.col("__name") == F.col("name")) & (F.col("__name2") == F.col("name2"))).select("__text", "rows", "name", "name2").mapInArrow(run, schema)
 
 
 def _flat(rows: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -168,45 +181,76 @@ def _by_transform(named: DataFrame, wanted: DataFrame, buckets: int, length: int
     return _strings(named, wanted, buckets).groupBy("bucket").applyInPandas(run, "key long, string long, runs array<long>")
 
 
-def _by_window(named: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The same for hot keys, window by window."""
+def _finer(named: DataFrame, wanted: DataFrame, width: int, length: int) -> DataFrame:
+    """The wanted segments in pieces whose windows span ``width`` distances from the core: parent, p_string, shift (in the parent), and a segment's columns."""
+
+    def pieces(data: np.ndarray, start: int, size: int, head: int) -> list[tuple]:
+        own = data[start : start + size]
+        sums, n = tb.prefix(own, tb.RAW), size - length + 1
+        part = (head - np.arange(n)) // width
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        last = np.append(first[1:], n)  # the end of the piece's windows
+        core = head - part[first] * width
+        key = tb.mix(tb.span_hash(sums, core, core - width + 1 + length) + (part[first] * 1024 + width).astype(np.uint64))
+        string = tb.mix(tb.span_hash(sums, first, last - 1 + length) ^ tb.mix((core - first).astype(np.uint64) + U64(3)))
+        return list(zip(first.tolist(), tb.signed(key).tolist(), tb.signed(string).tolist(), (start + first).tolist(), (last - first - 1 + length).tolist(), (core - first).tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, owner = _flat(batch.column(1))
-            start, size = flat.field("start").to_numpy(), flat.field("size").to_numpy()
-            for doc in np.unique(owner):
-                data = np.frombuffer(batch.column(0)[int(doc)].as_py().encode("utf-8"), np.uint8)
-                for i in np.flatnonzero(owner == doc):
-                    piece = data[start[i] : start[i] + size[i]]
-                    at = np.arange(len(piece) - length + 1)
-                    one, two = (tb.span_hash(tb.prefix(piece, t), at, at + length) for t in (tb.RAW, tb.RAW2))
-                    same = pa.array(np.full(len(at), i))
-                    yield pa.RecordBatch.from_arrays([pa.array(tb.signed(one)), pa.array(tb.signed(two)), flat.field("key").take(same), flat.field("string").take(same), flat.field("n").take(same), pa.array(at)], ["one", "two", "key", "string", "n", "at"])
-
-    rows = _cut(named, wanted, run, "one long, two long, key long, string long, n long, at long")
-    rows = rows.groupBy("key", "string", "at", "one", "two").agg(F.max("n").alias("n"))  # once per string, whatever rows hold its text
-    again = rows.groupBy("one", "two").agg(F.sum("n").alias("n_all")).filter("n_all > 1").select("one", "two")
-    hits = rows.join(again, ["one", "two"]).groupBy("key", "string").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    return hits.select("key", "string", F.flatten(F.transform("at", lambda x: F.array(x, x + 1))).alias("runs"))
+            start, size, head = (flat.field(c).to_numpy() for c in ("start", "size", "head"))
+            at, of, rows = -1, [], []
+            for i in range(len(owner)):
+                if owner[i] != at:
+                    at = owner[i]
+                    data = np.frombuffer(batch.column(0)[int(at)].as_py().encode("utf-8"), np.uint8)
+                found = pieces(data, int(start[i]), int(size[i]), int(head[i]))
+                rows += found
+                of += [i] * len(found)
+            shift, key, string, begin, sizes, heads = zip(*rows, strict=True) if rows else ([],) * 6
+            of, owners = pa.array(of, pa.int64()), pa.array(owner[of] if of else [], pa.int64())
+            columns = [flat.field("key").take(of), flat.field("string").take(of), pa.array(shift, pa.int64()), pa.array(key, pa.int64()), pa.array(string, pa.int64()), flat.field("n").take(of)]
+            columns += [batch.column(2).take(owners), batch.column(3).take(owners), pa.array(begin, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["parent", "p_string", "shift", "key", "string", "n", "name", "name2", "start", "size", "head"])
 
+    return _cut(named, wanted, run, "parent long, p_string long, shift long, key long, string long, n long, name long, name2 long, start long, size int, head int")
 
-def repeats(named: DataFrame, length: int = LENGTH, gram: int = GRAM, most_strings: int = MOST_STRINGS) -> DataFrame:
-    """name, bytes, spans: for each text with repeats, [start, stop) pairs of its repeated windows, unmerged."""
-    rows = _segment_rows(named, length, gram)
-    keys = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    cand = saved(rows.join(keys, "key"))
-    strings = cand.groupBy("key", "string").agg(F.count("*").alias("n"), F.min(F.struct("name", "bytes", "start", "size", "head")).alias("one")).select("key", "string", "n", "one.*")
+
+def _found(named: DataFrame, strings: DataFrame, length: int, most_strings: int, widths: tuple[int, ...]) -> DataFrame:
+    """key, string, runs of repeated window starts of the strings that have any; keys of too many strings are cut finer first."""
     wide = strings.groupBy("key").agg(F.count("*").alias("wide")).filter(F.col("wide") > most_strings).select("key")
-    strings, wide = saved(strings), saved(wide)
-    cold = strings.join(wide, "key", "left_anti")
+    wide = saved(narrowed(wide, 4)) if widths else wide.limit(0)
+    hot = widths and wide.limit(1).count()
+    cold = strings.join(wide, "key", "left_anti") if hot else strings
     total = cold.agg(F.sum("size").alias("b")).first()["b"] or 0
     found = _by_transform(named, cold, max(1, -(-total // BUCKET_BYTES)), length)
-    if wide.limit(1).count():
-        found = found.unionByName(_by_window(named, strings.join(wide, "key"), length))
-    found = saved(found)
-    hits = cand.join(found, ["key", "string"]).select("name", "bytes", F.transform("runs", lambda x: x + F.col("start")).alias("runs"))
-    return hits.groupBy("name", "bytes").agg(F.flatten(F.collect_set("runs")).alias("runs"))
+    if not hot:
+        return found
+    parts = saved(_finer(named, strings.join(wide, "key"), widths[0], length))
+    own = _distinct_strings(parts, F.sum("n"))
+    below = _found(named, own, length, most_strings, widths[1:])
+    back = parts.join(below, ["key", "string"]).select(F.col("parent").alias("key"), F.col("p_string").alias("string"), F.transform("runs", lambda x: x + F.col("shift")).alias("runs"))
+    return found.unionByName(back.groupBy("key", "string").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+
+
+def _distinct_strings(rows: DataFrame, n) -> DataFrame:
+    """key, string, n, and where one of the equal segments stands; saved."""
+    one = F.min(F.struct("name", "name2", "start", "size", "head")).alias("one")
+    return saved(narrowed(rows.groupBy("key", "string").agg(n.alias("n"), one).select("key", "string", "n", "one.*"), 2))
+
+
+def repeats(named: DataFrame, length: int = LENGTH, gram: int = GRAM, most_strings: int = MOST_STRINGS) -> DataFrame:
+    """name, name2, runs: for each text with repeats, flat [first, end) pairs of its repeated window starts, unmerged; saved."""
+    rows = _segment_rows(named, length, gram)
+    # Saved, so that the join meets a plain table and Spark can split the rows of a hot key.
+    keys = saved(narrowed(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), 4))
+    release(named.sparkSession)
+    cand = saved(narrowed(rows.join(keys, "key"), 2))
+    release(named.sparkSession)
+    found = saved(narrowed(_found(named, _distinct_strings(cand, F.count("*")), length, most_strings, FINER), 2))
+    release(named.sparkSession)
+    hits = cand.join(found, ["key", "string"]).select("name", "name2", F.transform("runs", lambda x: x + F.col("start")).alias("runs"))
+    return saved(narrowed(hits.groupBy("name", "name2").agg(F.flatten(F.collect_set("runs")).alias("runs")), 2))
 
 
 def merged(runs: np.ndarray, length: int) -> np.ndarray:
@@ -223,7 +267,10 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (flat starts and stops of the removed runs) of every document."""
     named = _named(docs.select("doc_id", "text"))
     found = repeats(named, length, gram, most_strings)
-    joined = named.join(found, (F.col("__name") == F.col("name")) & (F.col("__bytes") == F.col("bytes")), "left").select("doc_id", "__text", "runs")
+    release(docs.sparkSession)
+    names = found.select("name", "name2")
+    hit = _of_names(named, names, "left_semi").join(found, (F.col("__name") == F.col("name")) & (F.col("__name2") == F.col("name2"))).select("doc_id", "__text", "runs")
+    joined = hit.unionByName(_of_names(named, names, "left_anti").select("doc_id", "__text", F.lit(None).cast("array<long>").alias("runs")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
