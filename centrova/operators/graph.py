@@ -39,29 +39,42 @@ def largest_component(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame,
     return v, e.select(F.col("s").alias("src"), F.col("d").alias("dst"), "weight"), ids
 
 
+#: Rounds of relaxation after which what has fallen is merged into the known distances.
+MERGE_EVERY = 6
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, by_source: bool = False, within: float | None = None) -> DataFrame:
     """id, dist, source of the nearest source (ties: least source), or with by_source a row per source and vertex it reaches.
 
-    Rounds relax the edges out of the vertices that fell in the round before; only these move.
+    Rounds relax the edges out of the vertices that fell in the round before; only these move, and only these are written.  Every
+    ``MERGE_EVERY`` rounds they are merged into the distances known, which is when those are written anew.
     """
     keys = ["id", "source"] if by_source else ["id"]
-    best = saved(sources.select("id", F.lit(0.0).alias("dist"), F.col("id").alias("source")).distinct())
-    front = best
+    least = F.min(F.struct("dist", "source")).alias("n")
+
+    def merged(parts: list[DataFrame]) -> DataFrame:
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        best = every.groupBy(*keys).agg(least)
+        return best.select("id", "n.dist", "n.source") if not by_source else best.select("id", F.col("n.dist").alias("dist"), "source")
+
+    known = front = saved(sources.select("id", F.lit(0.0).alias("dist"), F.col("id").alias("source")).distinct())
+    recent: list[DataFrame] = []
     while True:
         step = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"), "source")
         if within is not None:
             step = step.filter(F.col("dist") <= within)
-        near = step.groupBy(*keys).agg(F.min(F.struct("dist", "source")).alias("n")).select(*[c for c in keys if c != "source"], F.col("n.dist").alias("nd"), F.col("n.source").alias("source" if by_source else "ns"))
-        own = near.join(best, keys, "left")
-        if by_source:
-            front = own.filter(F.col("dist").isNull() | (F.col("nd") < F.col("dist"))).select("id", F.col("nd").alias("dist"), "source")
-        else:
-            less = F.col("dist").isNull() | (F.col("nd") < F.col("dist")) | ((F.col("nd") == F.col("dist")) & (F.col("ns") < F.col("source")))
-            front = own.filter(less).select("id", F.col("nd").alias("dist"), F.col("ns").alias("source"))
-        front = saved(front)
+        own = merged([step])
+        for i, seen in enumerate([known, merged(recent)] if recent else [known]):
+            old = seen.select(*keys, F.struct("dist", "source").alias(f"old{i}"))
+            own = own.join(old, keys, "left").filter(F.col(f"old{i}").isNull() | (F.struct("dist", "source") < F.col(f"old{i}"))).drop(f"old{i}")
+        front = saved(own.select("id", "dist", "source"))
         if front.limit(1).count() == 0:
-            return best.select("id", "dist", "source")
-        best = saved(best.join(front.select(*keys), keys, "left_anti").unionByName(front))
+            return merged([known, *recent]) if recent else known
+        recent.append(front)
+        if len(recent) >= MERGE_EVERY:
+            known, recent = saved(merged([known, *recent])), []
 
 
 def distance_rows(edges: DataFrame, sources: DataFrame, only_sources: bool = False) -> DataFrame:
