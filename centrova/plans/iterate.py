@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and runs on this machine alone, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Values (k * d) that centers may have together where they go to every worker.
 CENTER_VALUES = 8_000_000
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as spark.checkpoint.dir names it; a local one only for a master that is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_CHECKPOINTS
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The frame as written to the folder in spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -14,7 +14,7 @@ from centrova.functions.draws import uniform, uniform_sql
 from centrova.operators import centroids, clustering, coreset, graph, matrix, metric, pairwise, sampling, seeding, sparse
 from centrova.plans import oracles as o
 from centrova.plans import queries as q
-from centrova.plans.iterate import LOCAL_CHECKPOINTS
+from centrova.plans.iterate import checkpoint_folder
 from centrova.sources import graphs, matrices
 
 K, SEED = q.K, q.SEED
@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/") + f"/files/{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/files/{uuid.uuid4().hex}"
 
 
 def _long(df: DataFrame, *keys: str) -> DataFrame:
