@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from centrova.plans.iterate import checkpoint_folder
+
 #: Rows of two or three numbers that may be broadcast, and such rows that a task of a later job should have.
 SMALL_ROWS, TASK_ROWS = 500_000, 100_000
 
@@ -34,7 +34,7 @@ def saved(df: DataFrame) -> DataFrame:
     """The frame as written to the folder in spark.checkpoint.dir, so that a lost executor costs no recomputation of lineage."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -51,13 +51,9 @@ def hinted(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= SMALL_ROWS else df
 
 
-def _folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
-
-
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """The frame as a compressed table in the checkpoint folder, and its path, for ``drop``."""
-    path = f"{_folder(df.sparkSession)}/stored/{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/stored/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path), path
 
