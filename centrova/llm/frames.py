@@ -22,12 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def narrowed(df: DataFrame, by: int) -> DataFrame:
-    """The frame in a ``by``-th of the shuffle's partitions: what follows a shuffle of whole documents or keys but is far smaller.
+#: Parts of the shuffle's partitions in which frames are written that are far smaller than what they were made from.
+HEAVY, LIGHT = 32, 64
 
-    Every file written costs a rename and a change of its mode, for which local and networked folders may start a process.
+
+def _share(df: DataFrame, by: int) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // by)
+
+
+def narrowed(df: DataFrame) -> DataFrame:
+    """What is left of whole documents or keys, to be written: made in all partitions, then dealt to few by one more small shuffle.
+
+    Every file written costs renames and changes of mode, for which local folders start processes.
     """
-    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // by))
+    return df.repartition(_share(df, HEAVY))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -38,10 +46,11 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def counted(df: DataFrame, by: int = 16, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
-    """``saved`` in few partitions, with its rows (``n``) and further metrics observed in the same job."""
+def counted(df: DataFrame, heavy: bool = False, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``saved`` in few partitions, with its rows (``n``) and further metrics observed in the same job; heavy: made in all partitions."""
     seen = Observation()
-    out = saved(narrowed(df, by).observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in metrics.items()]))
+    few = narrowed(df) if heavy else df.coalesce(_share(df, LIGHT))
+    out = saved(few.observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in metrics.items()]))
     found = seen.get
     return out.coalesce(max(1, -(-found["n"] // TASK_ROWS))), found
 

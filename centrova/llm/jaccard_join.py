@@ -211,7 +211,7 @@ def held_texts(docs: DataFrame, pairs: DataFrame, sets: DataFrame, j: Jaccard) -
     """set_id, text of every set in pairs (a, b), as a stored table, and its path."""
     ends, found = counted(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
     names, _ = counted(sets.select("set_id", "name").join(hinted(ends, found["n"]), "set_id"))
-    held, path = stored(narrowed(_texts_of(docs, names, j), 4))
+    held, path = stored(narrowed(_texts_of(docs, names, j)))
     release(docs.sparkSession)
     return held, path
 
@@ -236,7 +236,7 @@ def verified(pairs: DataFrame, held: DataFrame, j: Jaccard) -> tuple[DataFrame,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     x, y = (held.select(F.col("set_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    links, found = counted(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), 4)
+    links, found = counted(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), heavy=True)
     release(held.sparkSession)
     return links, found["n"]
 
@@ -302,7 +302,7 @@ def _open_members(members: DataFrame, labels: Labels) -> tuple[DataFrame, int]:
     named = _named(members, labels)
     keys = named.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"), F.count("*").alias("m"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("same"))
     keys, found = counted(keys.filter("c_lo != c_hi and m > 3").groupBy("m", "same").agg(F.min("key").alias("key")).select("key"))
-    out, total = counted(members.select("key", "set_id").join(hinted(keys, found["n"]), "key"), 8)
+    out, total = counted(members.select("key", "set_id").join(hinted(keys, found["n"]), "key"), heavy=True)
     return out, total["n"]
 
 
@@ -328,9 +328,9 @@ def _across(members: DataFrame, total: int, sets: DataFrame, labels: Labels, j:
 def _pigeonholed(docs: DataFrame, j: Jaccard) -> DataFrame:
     """key, set_id, lo, hi: the keys that several sets emit, with the least and the greatest of these."""
     rows = emitted(docs, j)
-    keys = saved(narrowed(rows.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo != hi"), 4))
+    keys = saved(narrowed(rows.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo != hi")))
     release(docs.sparkSession)
-    return saved(narrowed(rows.join(keys, "key").select("key", "set_id", "lo", "hi").distinct(), 4))
+    return saved(narrowed(rows.join(keys, "key").select("key", "set_id", "lo", "hi").distinct()))
 
 
 def _apart(pairs: DataFrame, labels: Labels) -> DataFrame:
@@ -346,9 +346,9 @@ def _linked_stars(docs: DataFrame, members: DataFrame, sets: DataFrame, j: Jacca
     """
     spark = docs.sparkSession
     stars = members.select("set_id", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("end")).filter("set_id != end")
-    asked = saved(narrowed(stars.groupBy(F.least("set_id", "end").alias("a"), F.greatest("set_id", "end").alias("b")).agg(F.count("*").alias("shared")), 8))
+    asked = saved(narrowed(stars.groupBy(F.least("set_id", "end").alias("a"), F.greatest("set_id", "end").alias("b")).agg(F.count("*").alias("shared"))))
     release(spark)
-    near, found = counted(likely(asked, sets, j), 4)
+    near, found = counted(likely(asked, sets, j), heavy=True)
     release(spark)
     held, path = held_texts(docs, near, sets, j)
     ends = near.select(F.col("a").alias("s"), "shared", "a", "b").union(near.select(F.col("b").alias("s"), "shared", "a", "b"))
@@ -370,12 +370,12 @@ def linked_sets(docs: DataFrame, wide: DataFrame, j: Jaccard) -> Labels:
     members = _pigeonholed(docs, j)
     release(spark)
     every = wide.filter("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("name"))
-    sets, path = stored(narrowed(every.join(members.select("set_id").distinct(), "set_id"), 4))
+    sets, path = stored(narrowed(every.join(members.select("set_id").distinct(), "set_id")))
     release(spark)
     asked, labels = _linked_stars(docs, members, sets, j)
     members, total = _open_members(members, labels)
     for closest in (True, False) if total else ():
-        allowed, found = counted(_across(members, total, sets, labels, j, closest), 4)
+        allowed, found = counted(_across(members, total, sets, labels, j, closest), heavy=True)
         if not found["n"]:
             break  # no pair of different components is close enough
         pairs, found = counted(allowed.join(asked, ["a", "b"], "left_anti"))
@@ -398,14 +398,14 @@ def _named_sets(docs: DataFrame, j: Jaccard) -> tuple[DataFrame, DataFrame]:
     drop(docs.sparkSession, path)
     least = sized.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     named = least.join(labels.of("set_id", "component"), "set_id", "left")
-    return sized, saved(narrowed(named.select("set_id", "least", F.coalesce("component", "set_id").alias("component")), 8))
+    return sized, saved(narrowed(named.select("set_id", "least", F.coalesce("component", "set_id").alias("component"))))
 
 
 def near_duplicates(docs: DataFrame, j: Jaccard = Jaccard()) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id (the smallest doc_id reachable by links, itself included) of every document."""
     sized, named = _named_sets(docs, j)
-    names = saved(narrowed(named.groupBy("component").agg(F.min("least").alias("component_id")), 8))
-    names = saved(narrowed(named.select("set_id", "component").join(names, "component").select(F.col("set_id").alias("s"), "component_id"), 8))
+    names = saved(narrowed(named.groupBy("component").agg(F.min("least").alias("component_id"))))
+    names = saved(narrowed(named.select("set_id", "component").join(names, "component").select(F.col("set_id").alias("s"), "component_id")))
     out = sized.join(names, F.col("set_id") == F.col("s"), "left")
     return out.select("doc_id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -132,7 +132,7 @@ def _of_names(named: DataFrame, names: DataFrame, how: str) -> DataFrame:
 def _cut(named: DataFrame, wanted: DataFrame, run, schema: str) -> DataFrame:
     """run over (text, list of wanted rows' structs): the texts of the wanted rows only, once each."""
     lists = wanted.groupBy("name", "name2").agg(F.collect_list(F.struct("key", "string", "n", "start", "size", "head")).alias("rows"))
-    texts = _of_names(named.select("__text", "__name", "__name2"), saved(narrowed(wanted.select("name", "name2").distinct(), 4)), "left_semi")
+    texts = _of_names(named.select("__text", "__name", "__name2"), saved(narrowed(wanted.select("name", "name2").distinct())), "left_semi")
     texts = texts.dropDuplicates(["__name", "__name2"])
     return texts.join(lists, (F.col("__name") == F.col("name")) & (F.col("__name2") == F.col("name2"))).select("__text", "rows", "name", "name2").mapInArrow(run, schema)
 
@@ -219,7 +219,7 @@ def _finer(named: DataFrame, wanted: DataFrame, width: int, length: int) -> Data
 def _found(named: DataFrame, strings: DataFrame, length: int, most_strings: int, widths: tuple[int, ...]) -> DataFrame:
     """key, string, runs of repeated window starts of the strings that have any; keys of too many strings are cut finer first."""
     wide = strings.groupBy("key").agg(F.count("*").alias("wide")).filter(F.col("wide") > most_strings).select("key")
-    wide = saved(narrowed(wide, 4)) if widths else wide.limit(0)
+    wide = saved(narrowed(wide)) if widths else wide.limit(0)
     hot = widths and wide.limit(1).count()
     cold = strings.join(wide, "key", "left_anti") if hot else strings
     total = cold.agg(F.sum("size").alias("b")).first()["b"] or 0
@@ -236,21 +236,21 @@ def _found(named: DataFrame, strings: DataFrame, length: int, most_strings: int,
 def _distinct_strings(rows: DataFrame, n) -> DataFrame:
     """key, string, n, and where one of the equal segments stands; saved."""
     one = F.min(F.struct("name", "name2", "start", "size", "head")).alias("one")
-    return saved(narrowed(rows.groupBy("key", "string").agg(n.alias("n"), one).select("key", "string", "n", "one.*"), 2))
+    return saved(narrowed(rows.groupBy("key", "string").agg(n.alias("n"), one).select("key", "string", "n", "one.*")))
 
 
 def repeats(named: DataFrame, length: int = LENGTH, gram: int = GRAM, most_strings: int = MOST_STRINGS) -> DataFrame:
     """name, name2, runs: for each text with repeats, flat [first, end) pairs of its repeated window starts, unmerged; saved."""
     rows = _segment_rows(named, length, gram)
     # Saved, so that the join meets a plain table and Spark can split the rows of a hot key.
-    keys = saved(narrowed(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), 4))
+    keys = saved(narrowed(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")))
     release(named.sparkSession)
-    cand = saved(narrowed(rows.join(keys, "key"), 2))
+    cand = saved(narrowed(rows.join(keys, "key")))
     release(named.sparkSession)
-    found = saved(narrowed(_found(named, _distinct_strings(cand, F.count("*")), length, most_strings, FINER), 2))
+    found = saved(narrowed(_found(named, _distinct_strings(cand, F.count("*")), length, most_strings, FINER)))
     release(named.sparkSession)
     hits = cand.join(found, ["key", "string"]).select("name", "name2", F.transform("runs", lambda x: x + F.col("start")).alias("runs"))
-    return saved(narrowed(hits.groupBy("name", "name2").agg(F.flatten(F.collect_set("runs")).alias("runs")), 2))
+    return saved(narrowed(hits.groupBy("name", "name2").agg(F.flatten(F.collect_set("runs")).alias("runs"))))
 
 
 def merged(runs: np.ndarray, length: int) -> np.ndarray:
