@@ -6,6 +6,9 @@ anew.  Where a suffix goes follows from the order of the transform alone: the su
 entries that hold this symbol, so the new place of ``c + suffix`` is the stable rank of its entry among all entries by symbol.
 Its common prefix with a neighbour is one more than the least common prefix between their entries.
 
+A string goes on only while it can still share a run: its common prefix with a neighbour grows by one symbol a round at most, so it
+ends once that and the rounds that it has left come to less than a run.
+
 What stands right of the column is inserted before the first round as a whole: the strings' ends are sorted once and act as the
 ends of the collection's strings, in this order, with the common prefixes that they have.
 """
@@ -19,16 +22,21 @@ import numpy as np
 
 
 class _File:
-    """An array on disk that is read and written as a whole, in sequence."""
+    """An array on disk that is read and written as a whole, in sequence.
+
+    It is written over what it holds and never shrinks: a file that is emptied first is put on the disk as it is closed.
+    """
 
     def __init__(self, folder: str, name: str, dtype):
-        self.path, self.dtype = os.path.join(folder, name), dtype
+        self.path, self.dtype, self.size = os.path.join(folder, name), dtype, 0
 
     def write(self, values: np.ndarray) -> None:
-        values.astype(self.dtype, copy=False).tofile(self.path)
+        with open(self.path, "r+b" if self.size else "wb") as f:
+            values.astype(self.dtype, copy=False).tofile(f)
+        self.size = len(values)
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.path, self.dtype)
+        return np.fromfile(self.path, self.dtype, self.size)
 
 
 def _common_prefixes(ends: list[bytes]) -> np.ndarray:
@@ -91,23 +99,28 @@ def repeated_starts(strings: list[bytes], column: np.ndarray, length: int) -> li
     place = np.empty(m, np.int64)
     place[by_end] = np.arange(m)
 
-    def note(who: np.ndarray, at: np.ndarray, common: np.ndarray, r: int) -> None:
-        below = common[at] >= length
-        above = np.zeros(len(at), bool)
+    active = np.ones(m, bool)
+
+    def note(who: np.ndarray, at: np.ndarray, common: np.ndarray, r: int) -> np.ndarray:
+        """Mark the starts that are repeated; which strings end, for they can share no run in the rounds that they have left."""
+        most = common[at].astype(np.int64)
         inner = at + 1 < len(common)
-        above[inner] = common[at[inner] + 1] >= length
-        for i in who[below | above]:
+        most[inner] = np.maximum(most[inner], common[at[inner] + 1])
+        for i in who[most >= length]:
             found[i][column[i] - r] = True
+        ends = most + column[who] - r < length
+        active[who[ends]] = False
+        return ends
 
     with tempfile.TemporaryDirectory(prefix="bwt") as folder:
         symbols, prefixes = _File(folder, "symbols", kind), _File(folder, "prefixes", np.uint16)
         common = _common_prefixes([ends[i] for i in by_end])
-        symbols.write(heads[by_end, 0])
+        everyone, first = np.arange(m), heads[by_end, 0]
+        first[place[note(everyone, place, common, 0)]] = 0
+        symbols.write(first)
         prefixes.write(common)
-        everyone = np.arange(m)
-        note(everyone, place, common, 0)
         for r in range(1, rounds + 1):
-            who = everyone[column >= r]
+            who = everyone[active & (column >= r)]
             if len(who) == 0:
                 break
             b, common = symbols.read(), prefixes.read()
@@ -137,7 +150,7 @@ def repeated_starts(strings: list[bytes], column: np.ndarray, length: int) -> li
             c2[new[inner] + 1] = after[inner]
             b2[new], c2[new] = heads[who, r], before
             place[who] = new
+            b2[new[note(who, new, c2, r)]] = 0
             symbols.write(b2)
             prefixes.write(c2)
-            note(who, new, c2, r)
     return found
