@@ -70,10 +70,17 @@ def mean_frame(members: DataFrame) -> DataFrame:
 
 
 def median_frame(members: DataFrame, shares: bool = False) -> DataFrame:
-    """cid, features: medians by coordinate, the mean of the two middle values for an even number; weights are not looked at."""
+    """cid, features: medians by coordinate, the mean of the two middle values for an even number; weights are not looked at.
+
+    Equal values are one row before any sort, and the running count over a coordinate's values can spill; no group is held in memory.
+    """
     own = members.withColumn("features", distribution(F.col("features"))) if shares else members
-    m = _long(own).groupBy("cid", "feature").agg(F.percentile("value", F.lit(0.5)).alias("value"))
-    return _gathered(m, "value")
+    v = _long(own).groupBy("cid", "feature", "value").agg(F.count("*").alias("n"))
+    by = W.partitionBy("cid", "feature")
+    v = v.select("cid", "feature", "value", F.sum("n").over(by.orderBy("value").rowsBetween(W.unboundedPreceding, 0)).alias("cum"), F.sum("n").over(by).alias("all"))
+    # places of the middle values, from 0
+    low, high = (F.min(F.when(F.col("cum") > place, F.col("value"))) for place in (F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)))
+    return _gathered(v.groupBy("cid", "feature").agg(((low + high) / 2).alias("value")), "value")
 
 
 def weighted_median_frame(members: DataFrame, shares: bool = False) -> DataFrame:
