@@ -94,6 +94,13 @@ def _draw(df: DataFrame, weight, n: int, round: int, seed: int) -> list[int]:
     return [r["id"] for r in df.filter(weight > 0).select("id", race(weight, u).alias("r")).orderBy(F.desc("r"), "id").limit(n).collect()]
 
 
+def _draw_rows(df: DataFrame, weight, n: int, round: int, seed: int) -> tuple[list[int], np.ndarray]:
+    """``_draw``, with the features of the rows drawn, in one job."""
+    u = uniform(F.col("id"), round, seed)
+    rows = df.filter(weight > 0).select("id", "features", race(weight, u).alias("r")).orderBy(F.desc("r"), "id").limit(n).collect()
+    return [r["id"] for r in rows], np.array([r["features"] for r in rows], float)
+
+
 def total_cost(assigned: DataFrame) -> float:
     return assigned.agg(F.sum(F.col("weight") * F.col("cost")).alias("c")).first()["c"] or 0.0
 
@@ -107,16 +114,16 @@ def kmeanspp(points: DataFrame, k: int, which="SQRL2", prior: float = 0.0, seed:
     k = min(k, points.count())
     if k == 0:
         return Seeds([], np.zeros((0, 0)), 0.0)
-    ids, near = _draw(points, F.col("weight"), 1, 0, seed), Nearest(points, which, prior)
-    centers = list(rows_of(points, ids))
-    near.add(ids, np.array(centers))
+    ids, first = _draw_rows(points, F.col("weight"), 1, 0, seed)
+    near, centers = Nearest(points, which, prior), list(first)
+    near.add(ids, first)
     for r in range(1, k):
         costed = near.costed()
         left = F.when(F.col("chosen"), F.lit(0.0)).otherwise(F.col("weight") * F.col("cost"))
-        drawn = _draw(costed, left, candidates, r, seed)
+        drawn, here = _draw_rows(costed, left, candidates, r, seed)
         if not drawn:
-            drawn = [x["id"] for x in costed.filter("not chosen").orderBy("id").limit(1).select("id").collect()]
-        here = rows_of(points, drawn)
+            lowest = costed.filter("not chosen").orderBy("id").limit(1).select("id", "features").collect()
+            drawn, here = [x["id"] for x in lowest], np.array([x["features"] for x in lowest], float)
         if len(drawn) > 1:
             from centrova.operators.clustering import costs_against
 
@@ -206,10 +213,14 @@ def kcenter(points: DataFrame, k: int, which="L2", prior: float = 0.0, seed: int
     for r in range(1, k):
         costed = near.costed().filter("not chosen")
         top = costed.orderBy(F.desc("cost"), "id").limit(pool)
-        far = [x["id"] for x in top.select("id").collect()] if pool == 1 else _draw(saved(top), F.lit(1.0), 1, r, seed)
-        ids.append(far[0])
-        centers += list(rows_of(points, far[:1]))
-        near.add(far[:1], np.array(centers[-1:]))
+        if pool == 1:
+            rows = top.select("id", "features").collect()
+            far, here = [rows[0]["id"]], np.array([rows[0]["features"]], float)
+        else:
+            far, here = _draw_rows(saved(top), F.lit(1.0), 1, r, seed)
+        ids += far
+        centers += list(here)
+        near.add(far, here)
     return Seeds(ids, np.array(centers), near.costed().agg(F.max("cost").alias("m")).first()["m"])
 
 
