@@ -463,13 +463,13 @@ def _kmedian(k: int) -> str:
 
 
 @query(_kmedian(3))
-def kmedian_swaps(spark: SparkSession, sf: str) -> DataFrame:
+def kmedian_local_search(spark: SparkSession, sf: str) -> DataFrame:
     """Local search with swaps of one and two centers; on these tables it ends at the optimum."""
     return spark.createDataFrame([(round(metric.solve(_tvd(spark, sf), 3, "local_search", swaps=2).cost, 6),)], "cost double")
 
 
 @query(f"WITH best AS ({_kmedian(4)}) SELECT true AS within_bound, 4::BIGINT AS facilities FROM best")
-def primal_dual_bound(spark: SparkSession, sf: str) -> DataFrame:
+def jv_kmedian(spark: SparkSession, sf: str) -> DataFrame:
     """The primal-dual search opens as many facilities as asked for, at no more than six times the cost that local search reaches."""
     d = _tvd(spark, sf)
     s, best = metric.solve(d, 4, "primal_dual"), metric.solve(d, 4, "local_search", swaps=2)
@@ -596,11 +596,40 @@ def greedy_select(spark: SparkSession, sf: str) -> DataFrame:
     return q._ids(spark, api.greedy_select(q.embeddings(spark, sf), 4, msr="L2", first=0)["ids"])
 
 
+def _minibatch_sql(rounds: int = 4, batch: int = 200, every: int = 2) -> str:
+    """Rounds of ``clustering.minibatch`` with running means, the cheapest check-in, and the assignment to its centers."""
+    sql = f"WITH {o.EMB}, n AS (SELECT count(*) AS n FROM embeddings), c0 AS (SELECT id AS cid, f, v FROM e WHERE id < {K}), seen0 AS (SELECT DISTINCT cid, 0.0::DOUBLE AS n FROM c0)"
+    for r in range(rounds):
+        sql += f""", p{r} AS (SELECT e.id, e.f, e.v FROM e, n WHERE {uniform_sql('id', r, SEED)} < least(1.0::DOUBLE, {batch}.0::DOUBLE / n)),
+d{r} AS (SELECT p.id, c.cid, sum((p.v - c.v) * (p.v - c.v)) AS d FROM p{r} p JOIN c{r} c USING (f) GROUP BY 1, 2),
+a{r} AS (SELECT id, cid FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, cid) AS k FROM d{r}) WHERE k = 1),
+w{r} AS (SELECT cid, count(*)::DOUBLE AS w FROM a{r} GROUP BY cid), s{r} AS (SELECT cid, f, sum(v) AS s FROM a{r} JOIN p{r} USING (id) GROUP BY 1, 2),
+seen{r + 1} AS (SELECT b.cid, b.n + coalesce(w.w, 0) AS n FROM seen{r} b LEFT JOIN w{r} w USING (cid)),
+c{r + 1} AS (SELECT c.cid, c.f, CASE WHEN w.w > 0 THEN (1 - w.w / b.n) * c.v + w.w / b.n * s.s / w.w ELSE c.v END AS v FROM c{r} c JOIN seen{r + 1} b USING (cid) LEFT JOIN w{r} w USING (cid) LEFT JOIN s{r} s ON s.cid = c.cid AND s.f = c.f)"""
+    checks = [r for r in range(rounds + 1) if r % every == 0 or r == rounds]
+    for r in checks:
+        sql += f", x{r} AS (SELECT e.id, c.cid, sum((e.v - c.v) * (e.v - c.v)) AS d FROM e JOIN c{r} c USING (f) GROUP BY 1, 2)"
+    sql += ", z AS (" + " UNION ALL ".join(f"SELECT {r} AS r, id, cid, d FROM x{r}" for r in checks) + "), near AS (SELECT *, row_number() OVER (PARTITION BY r, id ORDER BY d, cid) AS k FROM z)"
+    return sql + ", best AS (SELECT r FROM near WHERE k = 1 GROUP BY r ORDER BY sum(d), r LIMIT 1) SELECT id, cid FROM near WHERE k = 1 AND r IN (SELECT r FROM best)"
+
+
+def _kcenter_coreset_sql(size: int = 6, rounds: int = 10, per_round: int = 3) -> str:
+    """``coreset.kcenter_coreset`` with k 3, mu 1, rho 1, gamma 0.02, eta 0.1: rounds of farthest rows, then outliers and weighed centers."""
+    sql = f"WITH {_ALL_IDS}, n AS (SELECT CAST(ceil(1.5 * 0.02 * count(*)) AS BIGINT) AS pool FROM ids), r0 AS (SELECT id, row_number() OVER (ORDER BY ln({uniform_sql('id', 0, SEED)}) DESC, id) - 1 AS place FROM ids QUALIFY place < {per_round})"
+    chosen = "SELECT id, place FROM r0"
+    for r in range(1, rounds + 1):
+        sql += f""", m{r} AS (SELECT pd.id, sqrt(min(d)) AS d FROM pd JOIN ({chosen}) ch ON ch.id = pd.c GROUP BY pd.id), p{r} AS (SELECT id, row_number() OVER (ORDER BY d DESC, id) AS k FROM m{r} WHERE id NOT IN (SELECT id FROM ({chosen}))),
+r{r} AS (SELECT id, {r * per_round} + row_number() OVER (ORDER BY ln({uniform_sql('id', r, SEED)}) DESC, id) - 1 AS place FROM p{r}, n WHERE p{r}.k <= pool QUALIFY place < {(r + 1) * per_round})"""
+        chosen += f" UNION ALL SELECT id, place FROM r{r}"
+    sql += f", ch AS ({chosen}), a AS (SELECT id, c, d FROM (SELECT pd.id, ch.id AS c, sqrt(d) AS d, row_number() OVER (PARTITION BY pd.id ORDER BY sqrt(d), place) AS k FROM pd JOIN ch ON ch.id = pd.c) WHERE k = 1)"
+    return sql + ", out AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY d DESC, id) AS k FROM a), n WHERE k <= pool) SELECT id, 1.0::DOUBLE AS weight FROM out UNION ALL SELECT c, count(*)::DOUBLE FROM a WHERE id NOT IN (SELECT id FROM out) GROUP BY c"
+
+
 def queries() -> dict[str, q.Query]:
     return {k: f for k, (f, _) in TABLE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     registry = ", ".join(f"('{m.name}', {'NULL' if m.number is None else m.number}::INT, '{m.text.replace(chr(39), chr(39) * 2)}')" for m in measures.MEASURES.values())
-    late = {"measure_registry": f"SELECT * FROM (VALUES {registry}) t(name, number, text)", "geomedian_3_steps": GEOMEDIAN, "spanning_tree": SPANNING_TREE}
+    late = {"measure_registry": f"SELECT * FROM (VALUES {registry}) t(name, number, text)", "geomedian_3_steps": GEOMEDIAN, "spanning_tree": SPANNING_TREE, "minibatch": _minibatch_sql(), "kcenter_coreset": _kcenter_coreset_sql()}
     return {k: s for k, (_, s) in TABLE.items() if s is not None} | late

@@ -250,17 +250,6 @@ def lsh_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return lsh.top_candidates(base, base, 3)
 
 
-def jv_kmedian(spark: SparkSession, sf: str) -> DataFrame:
-    d = pairwise.compare(priority_counts(spark, sf), priority_counts(spark, sf), "TVD", 1.0).select(F.col("i").alias("facility"), F.col("j").alias("client"), "dist")
-    s = metric.solve(d, 4, "primal_dual")
-    return _ids(spark, s.facilities)
-
-
-def kmedian_search(spark: SparkSession, sf: str) -> DataFrame:
-    d = pairwise.compare(priority_counts(spark, sf), priority_counts(spark, sf), "TVD", 1.0).select(F.col("i").alias("facility"), F.col("j").alias("client"), "dist")
-    return _ids(spark, metric.solve(d, 3, "local_search", swaps=2).facilities)
-
-
 def kmedian_exhaustive(spark: SparkSession, sf: str) -> DataFrame:
     d = pairwise.compare(priority_counts(spark, sf), priority_counts(spark, sf), "TVD", 1.0).select(F.col("i").alias("facility"), F.col("j").alias("client"), "dist")
     return spark.createDataFrame([(round(metric.solve(d, 2, "exhaustive").cost, 6),)], "cost double")
@@ -268,7 +257,7 @@ def kmedian_exhaustive(spark: SparkSession, sf: str) -> DataFrame:
 
 def minibatch(spark: SparkSession, sf: str) -> DataFrame:
     p = embeddings(spark, sf)
-    return clustering.minibatch(p, _centers(p), 200, rounds=4, check_every=2, seed=SEED).assigned.select("id", "cid")
+    return clustering.minibatch(p, _centers(p), 200, rounds=4, check_every=2, seed=SEED).assigned.select("id", F.col("cid").cast("long").alias("cid"))
 
 
 def hierarchical(spark: SparkSession, sf: str) -> DataFrame:
@@ -304,7 +293,7 @@ def queries() -> dict[str, Query]:
     out |= {"compare_l1": compare_centers, "lloyd_step": lloyd_step, "lloyd_2_iter": lloyd_two, "knn_k5": knn, "row_sum": row_sum, "col_sum": col_sum, "col_var": col_var, "row_var": row_var, "hvg_topn": hvg_topn, "nnz_per_row": nnz_per_row}
     out |= {"counthist": counthist, "argmaxcount": argmaxcount, "coreset_sample_parity": coreset_sample, "uniform_coreset": uniform_sample, "kmeanspp_parity": kmeanspp, "kcenter_greedy": kcenter, "localsearchpp_delta": localsearch_delta}
     out |= {"soft_responsibilities": soft_responsibilities, "distortion": distortion, "erase_empty": erase_empty, "submatrix": submatrix, "concat": concat, "normalised_columns": normalised_columns, "components": components, "sssp": sssp, "spanning_tree": spanning_tree}
-    out |= {"lsh_candidates": lsh_candidates, "jv_kmedian": jv_kmedian, "kmedian_local_search": kmedian_search, "kmedian_exhaustive": kmedian_exhaustive, "minibatch": minibatch, "hierarchical": hierarchical, "streaming_ofl": streaming_ofl}
+    out |= {"lsh_candidates": lsh_candidates, "kmedian_exhaustive": kmedian_exhaustive, "minibatch": minibatch, "hierarchical": hierarchical, "streaming_ofl": streaming_ofl}
     out |= {"thorup_sample": thorup_sample, "kcenter_coreset": kcenter_coreset, "measure_registry": measure_registry}
     from centrova.plans import more
 
