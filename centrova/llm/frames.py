@@ -23,11 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Parts of the shuffle's partitions in which frames are written that are far smaller than what they were made from.
-HEAVY, LIGHT = 32, 64
+HEAVY, LIGHT = 16, 64
 
 
 def _share(df: DataFrame, by: int) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // by)
+    return -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // by)
 
 
 def narrowed(df: DataFrame) -> DataFrame:
@@ -52,6 +52,7 @@ def counted(df: DataFrame, heavy: bool = False, **metrics: Column) -> tuple[Data
     few = narrowed(df) if heavy else df.coalesce(_share(df, LIGHT))
     out = saved(few.observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in metrics.items()]))
     found = seen.get
+    release(df.sparkSession)  # loops leave broadcasts and shuffles behind with every round
     return out.coalesce(max(1, -(-found["n"] // TASK_ROWS))), found
 
 
