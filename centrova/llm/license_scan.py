@@ -30,6 +30,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from centrova.llm.frames import narrowed, saved
+
 _GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation"
 _LGPL = "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"
 _DISCLAIMED = "in no event shall the {} be liable for any"
@@ -275,5 +277,6 @@ def by_text(docs: DataFrame) -> DataFrame:
 def licences(docs: DataFrame) -> DataFrame:
     """doc_id, family (of the likeliest confirmed piece), probability, n_paragraphs (confirmed pieces), families (all, sorted)."""
     rows = docs.select("doc_id", *_text_key(F.col("text").cast("string")))
-    out = rows.join(by_text(docs.select("text")), ["k1", "k2"], "left")
+    # Saved, so that the join meets a plain table: a small one is broadcast, and the rows of a text with many copies can be split.
+    out = rows.join(saved(narrowed(by_text(docs.select("text")))), ["k1", "k2"], "left")
     return out.select("doc_id", F.col("best.family").alias("family"), F.col("best.probability").alias("probability"), F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"), F.coalesce("families", F.array().cast("array<string>")).alias("families"))
