@@ -39,11 +39,16 @@ def narrowed(df: DataFrame) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The frame as written to the folder in spark.checkpoint.dir, so that a lost executor costs no recomputation of lineage."""
+    """The frame as written to the folder in spark.checkpoint.dir, so that a lost executor costs no recomputation of lineage.
+
+    What its making left behind on the driver and in shuffle files is released.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint()
+    out = df.checkpoint()
+    release(df.sparkSession)
+    return out
 
 
 def counted(df: DataFrame, heavy: bool = False, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
@@ -52,7 +57,6 @@ def counted(df: DataFrame, heavy: bool = False, **metrics: Column) -> tuple[Data
     few = narrowed(df) if heavy else df.coalesce(_share(df, LIGHT))
     out = saved(few.observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in metrics.items()]))
     found = seen.get
-    release(df.sparkSession)  # loops leave broadcasts and shuffles behind with every round
     return out.coalesce(max(1, -(-found["n"] // TASK_ROWS))), found
 
 
