@@ -44,7 +44,7 @@ U64 = np.uint64
 #: Sets per side of a tile of sketch comparisons, and rows of smaller keys that share a group.
 TILE, GROUP_ROWS = 1024, 5000
 #: Names of sets (16 bytes each) that are broadcast to fetch their texts; more meet the texts in a shuffled join.
-BROADCAST_SETS = 1_000_000
+BROADCAST_SETS = 100_000
 
 
 @dataclass(frozen=True)
