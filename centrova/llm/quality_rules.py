@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from centrova.llm import textbytes as tb
 from centrova.llm.frames import saved
@@ -31,6 +31,8 @@ _NOT_NEWLINE = np.ones(256, bool)
 _NOT_NEWLINE[10] = False
 #: Frequent lines that are broadcast; more are joined by a shuffle.
 BROADCAST_LINES = 200_000
+#: Bytes of a slice: several arrays of eight bytes a byte live at once in each of an executor's workers.
+SLICE_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,14 @@ class QualityRules:
     min_left_pct: int = 50
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+    """batch and a slice of its texts, for each.  What Arrow has kept of earlier batches, and a reused worker of earlier tasks, goes back first."""
+    for batch in batches:
+        pa.default_memory_pool().release_unused()
+        for lo, hi, data, offs in tb.slices(batch.column(column), SLICE_BYTES):
+            yield batch, lo, hi, data, offs
+
+
 def _lines(data: np.ndarray, offs: np.ndarray, w: tb.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the lines that hold a word: row, first word, end word, hash of the line's own bytes."""
     start, stop = tb.spans(data, offs, _NOT_NEWLINE)
@@ -100,19 +110,18 @@ def _keyed_lines(docs: DataFrame, host: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in tb.slices(batch.column(0)):
-                w = tb.words(data, offs)
-                row, a, b, _ = _lines(data, offs, w)
-                folded = tb.span_hash(tb.prefix(data, tb.FOLDED), w.start, w.stop)
-                key = _line_keys(folded, a, b)
-                whole = tb.span_hash(tb.prefix(data, tb.RAW), offs[:-1], offs[1:])
-                _, at, back = np.unique(_same_row_key(key, row), return_index=True, return_inverse=True)
-                held = np.bincount(back, (b - a), minlength=len(at)).astype(np.int64)
-                owner = np.concatenate([np.arange(hi - lo), row[at]])
-                lines = pa.array(np.concatenate([np.zeros(hi - lo, np.int64), tb.signed(key[at])]), mask=np.arange(len(owner)) < hi - lo)
-                hosts = batch.column(1).slice(lo, hi - lo).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([hosts, pa.array(tb.signed(whole)[owner]), lines, pa.array(np.concatenate([np.diff(w.first), held]))], ["host", "content", "line", "words"])
+        for batch, lo, hi, data, offs in _slices(batches, 0):
+            w = tb.words(data, offs)
+            row, a, b, _ = _lines(data, offs, w)
+            folded = tb.span_hash(tb.prefix(data, tb.FOLDED), w.start, w.stop)
+            key = _line_keys(folded, a, b)
+            whole = tb.span_hash(tb.prefix(data, tb.RAW), offs[:-1], offs[1:])
+            _, at, back = np.unique(_same_row_key(key, row), return_index=True, return_inverse=True)
+            held = np.bincount(back, (b - a), minlength=len(at)).astype(np.int64)
+            owner = np.concatenate([np.arange(hi - lo), row[at]])
+            lines = pa.array(np.concatenate([np.zeros(hi - lo, np.int64), tb.signed(key[at])]), mask=np.arange(len(owner)) < hi - lo)
+            hosts = batch.column(1).slice(lo, hi - lo).take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([hosts, pa.array(tb.signed(whole)[owner]), lines, pa.array(np.concatenate([np.diff(w.first), held]))], ["host", "content", "line", "words"])
 
     return docs.select(F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host")).mapInArrow(run, "host string, content long, line long, words long")
 
@@ -152,20 +161,32 @@ def _judged(docs: DataFrame, carry: list[str], rules: QualityRules, host: str) -
 
 
 def _scanned(docs: DataFrame, carry: list[str], host: str, figures_of, more: dict[str, str]) -> DataFrame:
-    """The carried columns and what figures_of(data, offs, hosts) gives for each slice, under names with two underscores."""
+    """The carried columns and what figures_of(data, offs, hosts) gives for each slice, under names with two underscores.
+
+    Text and host go to the workers once, whether or not they are carried: batches of whole texts are what fills their memory.
+    """
     names = [*carry, *(f"__{c}" for c in more)]
+    sent = [F.col(c) for c in carry]
+
+    def place(column: str, alias: str) -> int:
+        """Where column is among those sent, as a string."""
+        if column in carry and docs.schema[column].dataType == StringType():
+            return carry.index(column)
+        sent.append(F.col(column).cast("string").alias(alias))
+        return len(sent) - 1
+
+    text_at, host_at = place("text", "__text"), place(host, "__host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in tb.slices(batch.column(0)):
-                part = batch.slice(lo, hi - lo)
-                found = figures_of(data, offs, part.column(1))
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], *(found[c] for c in more)], names)
+        for batch, lo, hi, data, offs in _slices(batches, text_at):
+            part = batch.slice(lo, hi - lo)
+            found = figures_of(data, offs, part.column(host_at))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], *(found[c] for c in more)], names)
 
     schema = StructType([docs.schema[c] for c in carry])
     for c, kind in more.items():
         schema = schema.add(f"__{c}", kind)
-    return docs.select(F.col("text").cast("string").alias("__text"), F.col(host).cast("string").alias("__host"), *carry).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def _figures_by_broadcast(docs: DataFrame, carry: list[str], frequent: DataFrame, host: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from centrova.llm import jaccard_join
+from centrova.llm import jaccard_join, quality_rules
 from centrova.llm.components import Labels, components
 from centrova.llm.frames import saved
 
@@ -32,3 +32,22 @@ def test_names_of_many_sets_are_not_broadcast(spark, docs):
     out = jaccard_join._texts_of(docs, wanted, j)
     assert not _hinted(out)
     assert {r["set_id"] for r in out.collect()} == {r["set_id"] for r in real.collect()}
+
+
+def test_quality_rules_send_texts_to_workers_once(spark, docs, monkeypatch):
+    def sent(df) -> list[str]:
+        plan = df._jdf.queryExecution().analyzed()
+        while "MapInArrow" not in plan.nodeName():
+            plan = plan.children().head()
+        return [plan.children().head().output().apply(i).dataType().simpleString() for i in range(plan.children().head().output().size())]
+
+    kept = quality_rules.kept_documents(docs)
+    assert sorted(sent(kept)) == ["bigint", "string", "string"]
+    want = {r["doc_id"]: r["kept"] for r in quality_rules.verdicts(docs).collect()}
+    rows = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(rows[d] for d, k in want.items() if k)
+    # a text that is no string is carried as it is and read as one
+    odd = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(1).alias("source"))
+    assert sorted(sent(quality_rules.kept_documents(odd))) == ["bigint", "binary", "int", "string", "string"]
+    monkeypatch.setattr(quality_rules, "BROADCAST_LINES", -1)
+    assert sorted(tuple(r) for r in quality_rules.kept_documents(docs).collect()) == sorted(rows[d] for d, k in want.items() if k)
