@@ -10,15 +10,21 @@ import math
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from centrova.functions.measures import block_distance
+from centrova.functions import screens
+from centrova.functions.measures import block_distance, measure
+from centrova.operators.pairwise import matrix_of
 
+#: Rows whose distances to the facilities are taken together, and rows of a batch that is returned.
+BATCH, OUT_ROWS = 256, 10_000
 FACILITIES = "shard int, facility int, features array<double>, weight double"
 
 
@@ -45,6 +51,11 @@ class FacilitySettings:
     def spread(self) -> float:
         return self.k * (1 + math.log(max(self.n, 2)))
 
+    @cached_property
+    def most(self) -> float:
+        """The facilities of a phase."""
+        return max((self.gamma - 1) * (1 + math.log(max(self.n, 2))) * self.k, self.k)
+
 
 def kmedian_stream(k: int, **more) -> FacilitySettings:
     return FacilitySettings(k, measure="L1", alpha=1.0, **more)
@@ -63,55 +74,108 @@ class FacilityState:
 
     def __init__(self, settings: FacilitySettings, bound: float = 0.0, cost: float = 0.0, seen: int = 0, rows: list | None = None, weights: list | None = None):
         self.s, self.bound, self.cost, self.seen = settings, bound, cost, seen
-        self.rows, self.weights = rows or [], weights or []
+        self.weights: list[float] = list(weights or [])
+        self._held = np.array(rows, float) if rows is not None and len(rows) else np.zeros((0, 0))
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self._held[: len(self.weights)]
 
     def add(self, x: list[float], weight: float = 1.0) -> None:
-        self.seen += 1
-        if not self.rows:
-            self.rows.append(list(x))
-            self.weights.append(weight)
-            return
-        d = block_distance(self.s.measure, np.array([x]), np.array(self.rows))[0]
-        i = int(d.argmin())
-        if self.bound == 0 and d[i] > 0:
-            self.bound = float(d[i])
-        self._place(x, weight, i, float(d[i]))
-        while self.cost > self.s.gamma * self.bound > 0 or len(self.rows) > max((self.s.gamma - 1) * (1 + math.log(max(self.s.n, 2))) * self.s.k, self.s.k):
-            self._next_phase()
-
-    def _place(self, x: list[float], weight: float, i: int, dist: float) -> None:
+        self.extend(np.array([x], float), [weight])
+
+    def extend(self, x: np.ndarray, weights: list[float]) -> None:
+        """Add the rows of x in order: as one by one, with distances to the facilities taken for ``BATCH`` rows at once."""
+        at = 0
+        while at < len(x):
+            at += self._some(x[at : at + BATCH], weights[at : at + BATCH])
+            while self._full():
+                self._next_phase()
+
+    def _full(self) -> bool:
+        return self.cost > self.s.gamma * self.bound > 0 or len(self.weights) > self.s.most
+
+    def _some(self, x: np.ndarray, weights: list[float], again: bool = False) -> int:
+        """Add rows of x until a bound is reached, and say how many; again: facilities that are read again, all of them."""
+        if not self.weights:
+            self.seen += 1
+            self._open(x[0], weights[0])
+            return 1
+        before = len(self.weights)
+        near, dist = screens.nearest(measure(self.s.measure), x, self.rows)
+        among = block_distance(self.s.measure, x, x)
+        fresh: list[int] = []
+        for r, weight in enumerate(weights):
+            self.seen += 1
+            i, d = int(near[r]), float(dist[r])
+            if fresh:
+                new = among[r, fresh]
+                j = int(new.argmin())
+                if new[j] < d:
+                    i, d = before + j, float(new[j])
+            if self.bound == 0 and d > 0 and not again:
+                self.bound = d
+            if self._place(x[r], weight, i, d):
+                fresh.append(r)
+            if not again and self._full():
+                return r + 1
+        return len(x)
+
+    def _open(self, x: np.ndarray, weight: float) -> None:
+        n = len(self.weights)
+        if n == len(self._held):
+            held = np.empty((max(16, 2 * n), len(x)))
+            held[:n] = self._held[:n] if n else 0
+            self._held = held
+        self._held[n] = x
+        self.weights.append(weight)
+
+    def _place(self, x: np.ndarray, weight: float, i: int, dist: float) -> bool:
+        """Whether x opened a facility."""
         price = self.bound / self.s.spread
         u = random.Random(self.s.seed * 1_000_003 + self.seen).random()
         if dist > 0 and price > 0 and u < weight * dist / price:
-            self.rows.append(list(x))
-            self.weights.append(weight)
-        else:
-            self.weights[i] += weight
-            self.cost += weight * dist
+            self._open(x, weight)
+            return True
+        self.weights[i] += weight
+        self.cost += weight * dist
+        return False
 
     def _next_phase(self) -> None:
         rows, weights = self.rows, self.weights
         self.bound, self.cost = self.bound * self.s.beta, 0.0
-        self.rows, self.weights = [rows[0]], [weights[0]]
-        for x, w in zip(rows[1:], weights[1:], strict=True):
-            self.seen += 1
-            d = block_distance(self.s.measure, np.array([x]), np.array(self.rows))[0]
-            i = int(d.argmin())
-            self._place(x, w, i, float(d[i]))
+        self._held, self.weights = rows[:1].copy(), weights[:1]
+        for lo in range(1, len(weights), BATCH):
+            self._some(rows[lo : lo + BATCH], weights[lo : lo + BATCH], again=True)
 
 
 def facilities(points: DataFrame, settings: FacilitySettings, shards: int) -> DataFrame:
-    """shard, facility, features, weight of a table: every shard in one pass, ordered by id."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        st = FacilityState(settings)
-        g = g.sort_values("id")
-        for x, w in zip(g["features"], g["weight"], strict=True):
-            st.add(list(x), float(w))
-        return pd.DataFrame({"shard": g["shard"].iloc[0], "facility": range(len(st.rows)), "features": st.rows, "weight": st.weights})
-
-    own = points.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "features", "weight")
-    return own.groupBy("shard").applyInPandas(run, FACILITIES)
+    """shard, facility, features, weight of a table: every shard in one pass, ordered by id.
+
+    A shard is a task's, which reads its rows as they come sorted and holds no more than the facilities.
+    """
+
+    def out(shard: int, st: FacilityState) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(st.weights), OUT_ROWS):
+            x, w = st.rows[lo : lo + OUT_ROWS], st.weights[lo : lo + OUT_ROWS]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), shard, np.int32)), pa.array(np.arange(lo, lo + len(w), dtype=np.int32)), flat, pa.array(w, pa.float64())], ["shard", "facility", "features", "weight"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, st = None, FacilityState(settings)
+        for b in batches:
+            shard = b.column(0).to_numpy()
+            cut = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else [0]
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                if shard[lo] != now:
+                    yield from out(now, st)
+                    now, st = int(shard[lo]), FacilityState(settings)
+                st.extend(matrix_of(b.column(1).slice(lo, hi - lo)), b.column(2).slice(lo, hi - lo).to_pylist())
+        yield from out(now, st)
+
+    own = points.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "features", F.col("weight").cast("double").alias("weight"))
+    dealt = own.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_last())
+    return dealt.select("shard", "features", "weight").mapInArrow(run, FACILITIES)
 
 
 def stream_facilities(points: DataFrame, settings: FacilitySettings, shards: int) -> DataFrame:
@@ -125,11 +189,11 @@ def stream_facilities(points: DataFrame, settings: FacilitySettings, shards: int
         else:
             st = FacilityState(settings)
         for g in frames:
-            for x, w in zip(g["features"], g["weight"], strict=True):
-                st.add([float(v) for v in x], float(w))
-        dim = len(st.rows[0]) if st.rows else 0
-        state.update((float(st.bound), float(st.cost), int(st.seen), [float(v) for r in st.rows for v in r], [float(w) for w in st.weights], dim))
-        yield pd.DataFrame({"shard": key[0], "facility": range(len(st.rows)), "features": st.rows, "weight": st.weights})
+            if len(g):
+                st.extend(np.array(g["features"].tolist(), float), [float(w) for w in g["weight"]])
+        dim = st.rows.shape[1] if len(st.rows) else 0
+        state.update((float(st.bound), float(st.cost), int(st.seen), st.rows.ravel().tolist(), [float(w) for w in st.weights], dim))
+        yield pd.DataFrame({"shard": key[0], "facility": range(len(st.rows)), "features": list(st.rows), "weight": st.weights})
 
     own = points.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "features", "weight")
     schema = "bound double, cost double, seen long, flat array<double>, weights array<double>, dim int"

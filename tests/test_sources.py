@@ -74,3 +74,20 @@ def test_streaming_query_keeps_all_weight(spark, tmp_path):
     for r in rows:
         last[r["facility"]] = max(last.get(r["facility"], 0), r["weight"])
     assert sum(last.values()) == 20
+
+
+@pytest.mark.parametrize("settings", [facility.kmeans_stream(1, n=3, seed=5), facility.kmedian_stream(1, n=3, seed=5)])
+def test_shards_of_many_facilities_take_distances_in_batches(settings, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 1, (700, 3)), np.round(rng.normal(0, 40, (700, 3)))])
+    w = [float(v) for v in rng.integers(1, 4, len(x))]
+    calls = []
+    monkeypatch.setattr(facility.screens, "nearest", lambda *a, f=facility.screens.nearest: calls.append(1) or f(*a))
+    many, one = facility.FacilityState(settings), facility.FacilityState(settings)
+    many.extend(x, w)
+    in_batches = len(calls)
+    for row, weight in zip(x, w, strict=True):
+        one.add(list(row), weight)
+    assert in_batches < 100
+    assert np.array_equal(many.rows, one.rows) and many.weights == one.weights
+    assert (many.bound, many.cost, many.seen) == (one.bound, one.cost, one.seen)
