@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from centrova.functions import screens
 from centrova.functions.measures import block_distance, distance, measure
 from centrova.plans.iterate import CENTER_VALUES, saved
 
 #: Rows of one side that a block of a blocked pair operator holds.
 BLOCK_ROWS = 4096
+#: Values and rows of one side that a group of ``neighbours`` holds, and the parts that a side has at least if it has so many blocks.
+NEAR_VALUES, NEAR_ROWS, NEAR_PARTS = 4_000_000, 65_536, 8
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
@@ -194,41 +197,34 @@ def oracle_assign(distances: DataFrame) -> DataFrame:
     return best.select("client", F.col("b.facility").alias("facility"), F.col("b.dist").alias("dist"))
 
 
+def _parts(rows: DataFrame, wide: int) -> int:
+    """Parts of one side of ``neighbours``: some for all cores, unless rows are few, and more where a part would be too large."""
+    n = rows.count()
+    return max(1, -(-n * wide // NEAR_VALUES), -(-n // NEAR_ROWS), min(NEAR_PARTS, -(-n // BLOCK_ROWS)))
+
+
 def neighbours(points: DataFrame, k: int, which="SQRL2", prior: float = 0.0, queries: DataFrame | None = None) -> DataFrame:
     """id, neighbour, dist, rank (1 to k) of the k nearest other rows; ties to the lower id.
 
-    The base is dealt to blocks, and each query row to each block, where only the block's k best leave the task; they meet in one
-    more selection.  What is moved is rows * blocks and rows * k * blocks, never all pairs.
+    The base is dealt to blocks and the queries to tiles; a block meets a tile in one group, where only the k best of each query leave
+    the task, and they meet in one more selection.  A group holds up to ``NEAR_VALUES`` values of either side, so what is moved is
+    both sides as often as the square root of the groups.  Euclidean distances are first bounded by a matrix product, see ``screens``.
     """
     q = points if queries is None else queries
     m = measure(which)
     sign = -1.0 if m.similarity else 1.0
-    n_blocks = max(1, -(-points.count() // BLOCK_ROWS))
+    wide = points.select(F.max(F.size("features"))).first()[0] or 1
+    n_blocks, n_tiles = _parts(points, wide), _parts(q, wide)
     base = points.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("b"), F.col("id"), "features")
     asked = q.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), "id", "features")
-    n_tiles = max(1, -(-q.count() // BLOCK_ROWS))
     asked = asked.withColumn("t", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_tiles)).cast("int"))
     base = base.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))))
 
     def run(key, a: pa.Table, b: pa.Table) -> pa.Table:
         qi, x = a.column("id").to_numpy(), matrix_of(a.column("features").combine_chunks())
         bi, y = b.column("id").to_numpy(), matrix_of(b.column("features").combine_chunks())
-        ids, near, dist = [], [], []
-        order = np.argsort(bi, kind="stable")
-        bi, y = bi[order], y[order] if len(y) else y
-        for lo in range(0, len(qi), 256):
-            if not len(bi):
-                break
-            d = sign * block_distance(m, x[lo : lo + 256], y, prior)
-            d[qi[lo : lo + 256, None] == bi[None]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(d)), best.shape[1])
-            ids.append(qi[lo + rows])
-            near.append(bi[best.ravel()])
-            dist.append(d[rows, best.ravel()])
-        cat = [np.concatenate(v) if v else np.zeros(0, t) for v, t in ((ids, np.int64), (near, np.int64), (dist, float))]
-        ok = np.isfinite(cat[2])
-        return pa.table({"id": cat[0][ok], "neighbour": cat[1][ok], "dist": sign * cat[2][ok]})
+        row, near, dist = screens.k_nearest(m, prior, x, qi, y, bi, k)
+        return pa.table({"id": pa.array(qi[row], pa.int64()), "neighbour": pa.array(near, pa.int64()), "dist": pa.array(sign * dist, pa.float64())})
 
     found = asked.groupBy("b", "t").cogroup(base.groupBy("b", "t")).applyInArrow(run, "id long, neighbour long, dist double")
     key = F.struct((F.lit(sign) * F.col("dist")).alias("s"), "neighbour", "dist")

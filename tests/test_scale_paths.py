@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from centrova import api, schema
-from centrova.functions import measures
+from centrova.functions import measures, screens
 from centrova.operators import centroids, clustering, coreset, graph, metric, pairwise, seeding, sparse
 from centrova.sources import graphs, matrices
 
@@ -182,3 +182,29 @@ def test_matrices_of_different_width_do_not_concat(spark, tmp_path):
 def test_coreset_weights_of_equal_ids_add_up(spark):
     core = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 1.0)], "id long, weight double")
     assert rows(coreset.compact(core)) == [(1, 5.0), (2, 1.0)]
+
+
+@pytest.mark.parametrize("which", ["SQRL2", "L2", "L1"])
+@pytest.mark.parametrize("equal", [0, 150])
+def test_neighbours_in_pieces_match_all_distances(which, equal, monkeypatch):
+    rng = np.random.default_rng(6)
+    y = np.round(rng.normal(0, 2, (400, 3)), 1)
+    y[:equal] = y[0]
+    ids = rng.permutation(2000)[:400]
+    taken = []
+    monkeypatch.setattr(screens, "LEFT", 32)
+    monkeypatch.setattr(screens, "RIGHT", 40)
+    monkeypatch.setattr(screens, "own", lambda m, a, b, f=screens.own: taken.append(len(a)) or f(m, a, b))
+    row, near, dist = screens.k_nearest(measures.measure(which), 0.0, y, ids, y, ids, 4)
+    d = measures.block_distance(which, y, y)
+    np.fill_diagonal(d, np.inf)
+    want = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :4]
+    assert np.array_equal(near[np.argsort(row, kind="stable")].reshape(-1, 4), ids[want])
+    assert np.array_equal(dist[np.argsort(row, kind="stable")].reshape(-1, 4), np.take_along_axis(d, want, axis=1))
+    assert sum(taken) < 400 * 400 / 4  # of few pairs their own distance
+
+
+def test_neighbours_in_parts(spark, points, monkeypatch):
+    want = rows(pairwise.neighbours(points, 3))
+    monkeypatch.setattr(pairwise, "NEAR_VALUES", 120)  # 20 rows a side
+    assert rows(pairwise.neighbours(points, 3)) == want
