@@ -198,3 +198,21 @@ def test_matrix(spark):
     assert [r["features"] for r in matrix.submatrix(df, [2, 0, 2], [2, 0]).orderBy("place").collect()] == [[0.0, 3.0], [2.0, 1.0], [0.0, 3.0]]
     assert schema.sparse_to_dense(schema.dense_to_sparse(df)).orderBy("id").collect()[0]["features"] == [1.0, 0.0, 2.0]
     assert matrix.row_mode(spark.createDataFrame([(0, [2.0, 1.0, 1.0, 2.0])], "id long, features array<double>")).first()["mode"] == 1.0
+
+
+def test_top_candidates_are_counted_in_tiles(spark, points, monkeypatch):
+    from pyspark.sql import Window
+
+    base = lsh.index(points, lsh.Tables(2, 2, 5, "L2", 1.0))
+    w = Window.partitionBy("qid").orderBy(F.desc("matches"), "id")
+    pairs = lsh.candidates(base, base).withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
+    want = sorted(map(tuple, pairs.select("qid", "id", "matches", "rank").collect()))
+    for name, value in (("TILE_ROWS", 25), ("LEFT", 8), ("RIGHT", 10)):
+        monkeypatch.setattr(lsh, name, value)
+    twice = base.union(base.filter("id < 5"))
+    also = sorted(map(tuple, lsh.candidates(twice, base).withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("qid", "id", "matches", "rank").collect()))
+    assert sorted(map(tuple, lsh.top_candidates(twice, base, 3).select("qid", "id", "matches", "rank").collect())) == also
+    monkeypatch.setattr(lsh, "candidates", None)  # no row for each pair of a key
+    got = lsh.top_candidates(base, base, 3)
+    assert got.columns == ["qid", "id", "matches", "rank"]
+    assert sorted(map(tuple, got.collect())) == want
