@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from centrova.llm import jaccard_join, quality_rules
+from centrova.llm import frames, jaccard_join, quality_rules
 from centrova.llm.components import Labels, components
 from centrova.llm.frames import saved
 
@@ -51,3 +51,10 @@ def test_quality_rules_send_texts_to_workers_once(spark, docs, monkeypatch):
     assert sorted(sent(quality_rules.kept_documents(odd))) == ["bigint", "binary", "int", "string", "string"]
     monkeypatch.setattr(quality_rules, "BROADCAST_LINES", -1)
     assert sorted(tuple(r) for r in quality_rules.kept_documents(docs).collect()) == sorted(rows[d] for d, k in want.items() if k)
+
+
+def test_release_gives_native_memory_back(spark, monkeypatch):
+    said = []
+    monkeypatch.setattr(frames, "trim", lambda s, f=frames.trim: said.append(f(s)))
+    frames.release(spark)
+    assert len(said) == 1 and "Trim native heap" in said[0]
